@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersift import constants as K
+from tiersift.runtime import compute_once
 
 
 def text(name: str) -> Column:
@@ -76,21 +77,17 @@ def fingerprint() -> Column:
 def derive_fields(parts: DataFrame) -> DataFrame:
     """Complete records that carry headers, body and auth flags with every derived column.
 
-    One narrow projection chain: no shuffle. Each layer only names columns of the one below so
-    the URL regex runs once per body.
+    Narrow all the way: no shuffle, and the URL regex runs once per body.
     """
-    with_body = parts.withColumns({
+    found = compute_once(parts, {"urls": urls(text("body")),
+                                 "sender_domain": sender_domain(text("from_hdr"))})
+    hosts = compute_once(found, {"url_domains": url_domains(F.col("urls"))})
+    return hosts.withColumns({
         "snippet": snippet(text("body")),
-        "urls": urls(text("body")),
-        "sender_domain": sender_domain(text("from_hdr")),
         "has_html": flag("has_html"),
         "content_length": F.length(text("body")).cast("long"),
-    })
-    with_urls = with_body.withColumns({
-        "url_domains": url_domains(F.col("urls")),
         "url_count": F.size("urls").cast("long"),
-    })
-    return with_urls.withColumn("fingerprint", fingerprint())
+    }).withColumn("fingerprint", fingerprint())
 
 
 def embedding_text_tagged() -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tiersift import constants as K
 from tiersift.functions.fields import classifier_text, flag, strings, text
+from tiersift.runtime import compute_once
 
 RULE_TEXT = "rule_text"        # lower-cased subject and snippet, available to every rule
 DISPLAY_NAME = "rule_display"  # lower-cased display name of the From header
@@ -123,8 +124,8 @@ def rule_inputs(emails: DataFrame) -> DataFrame:
 def score(emails: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Input columns plus ``risk_factors``, ``risk_score``, ``strong_bad_indicators`` and trust."""
     rules = rules or default_rules()
-    fired = rule_inputs(emails).withColumns(
-        {f"_fires_{r.name}": r.fires for r in rules.rules} | {"is_trusted_domain": rules.trusted})
+    fired = compute_once(rule_inputs(emails), {
+        f"_fires_{r.name}": r.fires for r in rules.rules} | {"is_trusted_domain": rules.trusted})
 
     def count(selected):
         return reduce(add, selected, F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -50,3 +50,13 @@ def join_cluster_side(rows: DataFrame, per_key: DataFrame, key: str, row_id: str
     repeated = per_key.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds costly columns so that later filters and projections read them instead of repeating them.
+
+    A filter on a projected column is pushed below the projection with the expression written out
+    again, once per mention; a generator stops that while filters on other columns still pass.
+    """
+    built = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(built)))
