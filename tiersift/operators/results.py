@@ -90,9 +90,9 @@ def stats(store: DataFrame, as_of, hours: int = 24) -> DataFrame:
                            entry("total", F.lit("recent"), F.col("fresh"))))))
 
 
-def training_rows(store: DataFrame, emails: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+def training_rows(store: DataFrame, facts: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     """Confident stored rows with the message facts known for them (empty when unknown)."""
-    facts = metadata(emails).select("fingerprint", "subject", "sender_domain")
+    facts = facts.select("fingerprint", "subject", "sender_domain")
     confident = store.filter(F.col("confidence") >= min_confidence)
     return confident.join(facts, "fingerprint", "left").select(
         "fingerprint", "label", "confidence", "source",

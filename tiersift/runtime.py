@@ -78,3 +78,24 @@ def numbered(df: DataFrame, order: str, column: str = "ordinal") -> DataFrame:
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return joined.withColumn(column, F.col("_offset") + row).drop("_at", "_part", "_offset")
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, row_id: str, count: str = "n",
+                 salts: int = SALTS) -> DataFrame:
+    """Join rows with a large one-row-per-key table whose ``count`` tells the rows of each key.
+
+    Only keys that own more than a thousandth of all rows are spread and repeated, so fewer than a
+    thousand keys reach the driver and the rest of ``per_key`` is shuffled once.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    limit = max(total / 1000, 10_000)
+    hot = [r[0] for r in per_key.filter(F.col(count) > limit).select(key).collect()]
+    per_key = per_key.drop(count)
+    if not hot:
+        return rows.join(per_key, key)
+    is_hot = F.col(key).isin(hot)
+    spread = rows.withColumn("_salt", F.when(
+        is_hot, F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0))
+    repeated = per_key.withColumn("_salt", F.explode(F.when(
+        is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return spread.join(repeated, [key, "_salt"]).drop("_salt")

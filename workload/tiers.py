@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tiersift.operators import merge, reports, results, rules
+from tiersift.runtime import materialize
 from workload.fixtures import emails
 from workload.registry import query
 from workload.sqlbase import RULES, over_rules
@@ -43,14 +44,13 @@ def scored(results_of_rules):
 
 
 def final(spark, sf_dir):
-    messages = emails(spark, sf_dir)
-    by_rules = rules.classify(messages)
+    by_rules = materialize(rules.classify(emails(spark, sf_dir)), "rules")
     split = scored(by_rules)
     labelled = split.filter("NOT auto").select(
         "email_id", F.when(F.col("email_id") % 2 == 0, "BAD").otherwise("GOOD").alias("label"),
         ((0.45 + (F.col("email_id") % 10) * 0.05) * 0.9).alias("confidence"),
         F.lit("llm_propagated").alias("source"))
-    return merge.merge_tiers(messages, [
+    return merge.merge_tiers(by_rules, [
         by_rules.withColumn("context", F.to_json("context")), split.filter("auto"), labelled])
 
 
@@ -148,6 +148,6 @@ SELECT st.fingerprint, st.label, round(st.confidence, 6) AS confidence, st.sourc
 FROM st LEFT JOIN md USING (fingerprint) WHERE st.confidence >= 0.7""")
 def training_join(spark, sf_dir):
     messages = emails(spark, sf_dir)
-    rows = results.training_rows(stored(messages), messages, 0.7)
+    rows = results.training_rows(stored(messages), results.metadata(messages), 0.7)
     return rows.orderBy(F.col("confidence").desc()).withColumn("confidence", F.round("confidence", 6))
 
