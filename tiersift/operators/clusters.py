@@ -1,6 +1,6 @@
 """Clusters of messages: k-means, centres, representatives, summaries.
 
-Shapes: vectors ``(email_id, embedding)``, assignments ``(email_id, cluster_id)`` with -1 for noise.
+Shapes: vectors ``(email_id, embedding)`` with an array or an ML vector, assignments ``(email_id, cluster_id)`` with -1 for noise.
 """
 
 from __future__ import annotations
@@ -10,15 +10,28 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tiersift.functions.fields import embedding_text_plain
 from tiersift.operators.text_vectors import Vocabulary, with_terms
-from tiersift.runtime import join_cluster_side, materialize
+from tiersift.runtime import join_cluster_side, materialize, spread
 
 NOISE = -1
 TEXT_DIMENSIONS = 500  # bounds the one place where text vectors become plain arrays
 
 
+def _as_vector(df: DataFrame) -> Column:
+    is_array = isinstance(df.schema["embedding"].dataType, ArrayType)
+    return array_to_vector(F.col("embedding").cast("array<double>")) if is_array else F.col("embedding")
+
+
+def as_arrays(df: DataFrame) -> DataFrame:
+    """``embedding`` as a plain array of doubles."""
+    is_array = isinstance(df.schema["embedding"].dataType, ArrayType)
+    return df.withColumn("embedding", F.col("embedding").cast("array<double>") if is_array
+                         else vector_to_array("embedding"))
+
+
 def _halves(n, text_clusters: bool):
     tenth = F.greatest(F.lit(2), F.floor(n / 10))
     if text_clusters:
@@ -37,10 +50,10 @@ def cluster_counts(rows: DataFrame) -> DataFrame:
 
 def text_embedding(emails: DataFrame, dimensions: int = TEXT_DIMENSIONS,
                    stop_words: list[str] | None = None) -> DataFrame:
-    """Default embedder: unit TF-IDF vectors over subject, snippet and sender domain."""
+    """Default embedder: sparse unit TF-IDF vectors over subject, snippet and sender domain."""
     docs = with_terms(emails, embedding_text_plain(), stop_words)
     vectors = Vocabulary.fit(docs, dimensions).stages("vector").transform(docs)
-    return vectors.select("email_id", vector_to_array("vector").alias("embedding"))
+    return vectors.select("email_id", F.col("vector").alias("embedding"))
 
 
 def embed(emails: DataFrame, fn, text_column: Column, dimensions_type: str = "array<double>") -> DataFrame:
@@ -61,11 +74,11 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
     spark = vectors.sparkSession
     if k is None:
         k = cluster_counts(vectors).first()["k_text" if text_clusters else "k_embedding"]
-    rows = vectors.select("email_id", F.col("embedding").cast("array<double>").alias("embedding"))
     if k < 2:
-        return rows.select("email_id", F.lit(0).alias("cluster_id")), centroids(
-            rows, rows.select("email_id", F.lit(0).alias("cluster_id")))
-    rows = rows.withColumn("features", array_to_vector("embedding")).persist()
+        single = vectors.select("email_id", F.lit(0).alias("cluster_id"))
+        return single, centroids(vectors, single)
+    rows = materialize(vectors.select("email_id", _as_vector(vectors).alias("features")), "features")
+    rows = spread(rows).persist()
     runs = (KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster_id").fit(rows)
             for i in range(n_init))
     best = min(runs, key=lambda m: m.summary.trainingCost)
@@ -86,7 +99,7 @@ def sizes(assignments: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """Mean vector per cluster, map-side combined."""
     rows = vectors.join(members(assignments), "email_id")
-    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    mean = Summarizer.mean(_as_vector(rows))
     return rows.groupBy("cluster_id").agg(vector_to_array(mean).alias("center"))
 
 
@@ -102,7 +115,7 @@ def representatives(vectors: DataFrame, assignments: DataFrame,
     The argmin is a partial aggregate, so a cluster with a third of all rows is reduced on the map
     side; only the centre join could gather it and that is salted.
     """
-    rows = vectors.join(members(assignments), "email_id")
+    rows = as_arrays(vectors).join(members(assignments), "email_id")
     centers = centers if centers is not None else centroids(vectors, assignments)
     measured = join_cluster_side(rows, centers, "cluster_id", "email_id").select(
         "cluster_id", "email_id", distance("embedding", "center").alias("distance"))

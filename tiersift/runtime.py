@@ -40,6 +40,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a plain table scan at least one partition per core before costly or repeated work.
+
+    A table of the size of a cluster's input already has more partitions and is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def join_cluster_side(rows: DataFrame, per_key: DataFrame, key: str, row_id: str,
                       how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join many rows with a table holding one row per key when one key may own a third of them.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersift.functions.fields import derive_fields
+from tiersift.runtime import spread
 
 # Headers, body and authentication flags of one message per document. The same text is valid in
 # Spark SQL and in DuckDB after the replacements in ``message_sql``.
@@ -45,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return spark.sql(message_sql("{documents}", duckdb=False), documents=documents)
 
 

@@ -120,7 +120,7 @@ def kmeans_text(spark, sf_dir):
 
 @query("embed_default")
 def embed_default(spark, sf_dir):
-    rows = clusters.text_embedding(emails(spark, sf_dir))
+    rows = clusters.as_arrays(clusters.text_embedding(emails(spark, sf_dir)))
     return rows.select("email_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(F.aggregate(
         "embedding", F.lit(0.0), lambda t, x: t + x * x)), 6).alias("length"))
 
