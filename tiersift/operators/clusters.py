@@ -5,6 +5,9 @@ Shapes: vectors ``(email_id, embedding)`` with an array or an ML vector, assignm
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -14,7 +17,7 @@ from pyspark.sql.types import ArrayType
 
 from tiersift.functions.fields import embedding_text_plain
 from tiersift.operators.text_vectors import Vocabulary, with_terms
-from tiersift.runtime import join_cluster_side, materialize, spread
+from tiersift.runtime import join_cluster_side, materialize, packed
 
 NOISE = -1
 TEXT_DIMENSIONS = 500  # bounds the one place where text vectors become plain arrays
@@ -69,7 +72,8 @@ def embed(emails: DataFrame, fn, text_column: Column, dimensions_type: str = "ar
 
 
 def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int = 10,
-           max_iter: int = 300, text_clusters: bool = False) -> tuple[DataFrame, DataFrame]:
+           max_iter: int = 300, text_clusters: bool = False,
+           parallel_runs: int = 8) -> tuple[DataFrame, DataFrame]:
     """Assignments and centres ``(cluster_id, center)`` of the cheapest of ``n_init`` runs."""
     spark = vectors.sparkSession
     if k is None:
@@ -77,10 +81,15 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
     if k < 2:
         single = vectors.select("email_id", F.lit(0).alias("cluster_id"))
         return single, centroids(vectors, single)
-    rows = materialize(vectors.select("email_id", _as_vector(vectors).alias("features")), "features")
-    rows = spread(rows).persist()
-    runs = (KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster_id").fit(rows)
-            for i in range(n_init))
+    # every iteration is a pass over these rows: even partitions of a useful size, cached
+    rows = packed(materialize(vectors.select("email_id", _as_vector(vectors).alias("features"))
+                              .hint("rebalance"), "features")).persist()
+
+    def run(i):
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster_id").fit(rows)
+
+    with ThreadPool(min(n_init, parallel_runs)) as pool:  # the runs' jobs share the cached rows
+        runs = pool.map(inheritable_thread_target(spark)(run), range(n_init))
     best = min(runs, key=lambda m: m.summary.trainingCost)
     assigned = materialize(best.transform(rows).select("email_id", "cluster_id"), "kmeans")
     rows.unpersist()

@@ -49,6 +49,13 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
+def packed(table: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
+    """Merge the small partitions of a stored table before many passes over it."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(1, -(-size // partition_bytes))
+    return table.coalesce(wanted) if table.rdd.getNumPartitions() > wanted else table
+
+
 def join_cluster_side(rows: DataFrame, per_key: DataFrame, key: str, row_id: str,
                       how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join many rows with a table holding one row per key when one key may own a third of them.
