@@ -39,7 +39,7 @@ def test_fingerprint_matches_a_plain_md5(spark, make_emails):
     assert df.select(fields.fingerprint().alias("f")).first()["f"] == want
 
 
-def fired(df, match="reference"):
+def fired(df, match="loose"):
     rows = rules.score(df, rules.default_rules(match)).orderBy("email_id").collect()
     return [({k for k, v in r["risk_factors"].asDict().items() if v}, r["is_trusted_domain"]) for r in rows]
 

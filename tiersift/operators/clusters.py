@@ -55,7 +55,7 @@ def text_embedding(emails: DataFrame, dimensions: int = TEXT_DIMENSIONS,
                    stop_words: list[str] | None = None) -> DataFrame:
     """Default embedder: sparse unit TF-IDF vectors over subject, snippet and sender domain."""
     docs = with_terms(emails, embedding_text_plain(), stop_words)
-    vectors = Vocabulary.fit(docs, dimensions).stages("vector").transform(docs)
+    vectors = Vocabulary.fit(docs, dimensions, n_docs=emails.count()).stages("vector").transform(docs)
     return vectors.select("email_id", F.col("vector").alias("embedding"))
 
 

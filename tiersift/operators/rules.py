@@ -46,7 +46,7 @@ def keywords_found() -> Column:
         F.when(F.contains(F.col(RULE_TEXT), F.lit(k)), F.lit(k)) for k in K.PHISHING_KEYWORDS]))
 
 
-def suspicious_urls(match: str = "reference") -> Column:
+def suspicious_urls(match: str = "loose") -> Column:
     if match == "suffix":
         pattern = _suffix_of(K.SUSPICIOUS_DOMAINS)
         return F.exists(strings("url_domains"), lambda d: F.rlike(d, F.lit(pattern)))
@@ -63,7 +63,7 @@ def auth_failure() -> Column:
     return ~(flag("spf_pass") | flag("dkim_pass") | flag("dmarc_pass"))
 
 
-def trusted_sender(match: str = "reference") -> Column:
+def trusted_sender(match: str = "loose") -> Column:
     pattern = _suffix_of(K.TRUSTED_DOMAINS) if match == "suffix" else _any_of(K.TRUSTED_DOMAINS)
     return text("sender_domain").rlike(pattern)
 
@@ -99,8 +99,8 @@ class RuleSet:
                        self.strong_cut, self.score_cut, self.clean_cut)
 
 
-def default_rules(match: str = "reference") -> RuleSet:
-    """``match='reference'`` keeps unanchored domain patterns, ``'suffix'`` anchors them."""
+def default_rules(match: str = "loose") -> RuleSet:
+    """``match='loose'`` keeps the domain patterns unanchored, ``'suffix'`` anchors them."""
     return RuleSet((
         Rule("domain_mismatch", 3, domain_mismatch(), strong=True),
         Rule("phishing_keywords", 2, keyword_hits() >= 2, strong=True),

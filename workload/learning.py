@@ -44,14 +44,16 @@ def tokens(spark, sf_dir):
 @query("tfidf_vocab", f"""WITH {EMAILS}, {vocabulary_sql(10000)}
 SELECT term, tf, df, round(idf, 6) AS idf FROM vi""")
 def tfidf_vocab(spark, sf_dir):
-    return text_vectors.vocabulary(documents(spark, sf_dir), 10_000).withColumn("idf", F.round("idf", 6))
+    return text_vectors.vocabulary(
+        documents(spark, sf_dir), 10_000, n_docs=table(spark, sf_dir, "documents").count()).withColumn("idf", F.round("idf", 6))
 
 
 @query("tfidf_weights", f"""WITH {EMAILS}, {vocabulary_sql(500)}
 SELECT email_id, term, round(weight, 6) AS weight FROM wt""")
 def tfidf_weights(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    vocab = text_vectors.Vocabulary.fit(docs, 500).table(spark)
+    vocab = text_vectors.Vocabulary.fit(
+        docs, 500, n_docs=table(spark, sf_dir, "documents").count()).table(spark)
     return text_vectors.weights(docs, vocab).select("email_id", "term", F.round("weight", 6).alias("weight"))
 
 
