@@ -18,21 +18,28 @@ def _as_writes(classified: DataFrame) -> DataFrame:
 
 def triage_batch(emails: DataFrame, store: ResultStore, at: datetime | None = None,
                  batch: int | None = None, ruleset: rules.RuleSet | None = None) -> int:
-    """Classify and store the messages the store does not know; returns how many rows were kept."""
+    """Classify and store the messages the store does not know; returns how many rows were kept.
+
+    Copies within the batch are settled by the largest ``email_id``.
+    """
     known = store.current(before=batch)
-    return store.upsert(_as_writes(rules.classify(results.misses(emails, known), ruleset)), at, batch)
+    fresh = rules.classify(results.misses(emails, known), ruleset)
+    return store.upsert(_as_writes(results.latest(fresh, "email_id")), at, batch)
 
 
-def triage_stream(messages: DataFrame, store: ResultStore, checkpoint: str, event_time: str,
-                  delay: str = "1 day", ruleset: rules.RuleSet | None = None,
-                  trigger: dict | None = None, first_batch: int = 0):
+def triage_stream(messages: DataFrame, store: ResultStore, checkpoint: str, remember: str = "1 day",
+                  ruleset: rules.RuleSet | None = None, trigger: dict | None = None,
+                  first_batch: int = 0):
     """Start a stream that stores a rule result per new fingerprint.
 
-    Copies arriving within ``delay`` are dropped in the stream, later ones by the store lookup.
-    Each micro-batch writes under its own number, so a repeated one replaces itself. Use another
+    Copies that follow within ``remember`` are dropped in the stream, later ones by the store
+    lookup. The watermark runs on arrival time, so no message is ever too late to be seen. Each
+    micro-batch writes under its own number, so a repeated one replaces itself. Use another
     ``first_batch`` when the store already holds numbered batches.
     """
-    unseen = messages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    arriving = messages.withColumn("_arrived_at", F.current_timestamp())
+    unseen = (arriving.withWatermark("_arrived_at", remember)
+              .dropDuplicatesWithinWatermark(["fingerprint"]).drop("_arrived_at"))
 
     def write(batch: DataFrame, number: int) -> None:
         triage_batch(batch, store, batch=first_batch + number, ruleset=ruleset)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tiersift.operators import clusters, rules, scoring
 from tiersift.runtime import materialize
 from workload.fixtures import emails, table
+from workload.learning import vocabulary_sql
 from workload.registry import query
-from workload.sqlbase import EMAILS, FINGERPRINT, RULES, over_emails  # noqa: F401
+from workload.sqlbase import EMAILS
 
 
 def vectors(spark, sf_dir):
@@ -118,7 +119,12 @@ def kmeans_text(spark, sf_dir):
         "member_preview", F.array_join(F.transform("member_preview", lambda i: i.cast("string")), "|"))
 
 
-@query("embed_default")
+_PLAIN = "concat_ws(' ', nullif(subject, ''), nullif(snippet, ''), nullif(sender_domain, ''))"
+
+
+@query("embed_default", f"""WITH {EMAILS}, {vocabulary_sql(500).replace("concat(subject, ' ', snippet)", _PLAIN)}
+SELECT email_id, (SELECT count(*) FROM v)::INT AS dimensions, (count(term) > 0)::INT::DOUBLE AS length
+FROM e LEFT JOIN wt USING (email_id) GROUP BY email_id""")
 def embed_default(spark, sf_dir):
     rows = clusters.as_arrays(clusters.text_embedding(emails(spark, sf_dir)))
     return rows.select("email_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(F.aggregate(
@@ -158,11 +164,16 @@ def prompt_batches(spark, sf_dir):
         "expected_ids", F.array_join("expected_ids", "|"))
 
 
-@query("score_batches")
+@query("score_batches", f"""WITH {LINES_SQL},
+h AS (SELECT batch_id, id, lower(split_part(line, chr(10) || chr(10), 1)) AS txt FROM l),
+c AS (SELECT batch_id, id, len(list_filter(['verify', 'urgent', 'expired', 'click here', 'bit.ly'],
+  lambda w: contains(txt, w))) AS n FROM h)
+SELECT batch_id, id, CASE WHEN n > 0 THEN 'BAD' ELSE 'GOOD' END AS label,
+  round(least(1.0, 0.6 + 0.1 * n), 6)::DOUBLE AS confidence, concat(n, ' signals') AS reason FROM c""")
 def score_batches(spark, sf_dir):
     prompts = scoring.batch_prompts(items(spark, sf_dir))
     answered = scoring.score_batches(prompts, scoring.wording_labeller)
-    return scoring.parse_responses(answered)
+    return scoring.parse_responses(answered).withColumn("confidence", F.round("confidence", 6))
 
 
 # Answers with planted faults: one JSON item per message, one response per ten messages.
