@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tiersift.operators import clusters, rules, scoring
-from tiersift.runtime import materialize
+from tiersift.runtime import materialize, shared_path
+from tiersift.sources.clusters import load_clusters, save_clusters
 from workload.fixtures import emails, table
 from workload.learning import vocabulary_sql
 from workload.registry import query
@@ -79,18 +80,34 @@ def cluster_savings(spark, sf_dir):
                        F.round("reduction_percent", 6).alias("reduction_percent"))
 
 
-@query("cluster_summary", over_groups("""
+_SUMMARY_SQL = over_groups("""
 SELECT sz.cluster_id, size, rep_email_id AS representative_id, e.fingerprint AS representative_fingerprint,
   e.subject AS representative_subject, e.from_hdr AS representative_from, p.member_preview
 FROM sz JOIN rp USING (cluster_id) LEFT JOIN e ON e.email_id = rp.rep_email_id
 JOIN (SELECT cluster_id, array_to_string(list(email_id ORDER BY email_id)[1:10], '|') AS member_preview
-  FROM a GROUP BY cluster_id) p ON p.cluster_id = sz.cluster_id"""))
+  FROM a GROUP BY cluster_id) p ON p.cluster_id = sz.cluster_id""")
+
+
+@query("cluster_summary", _SUMMARY_SQL)
 def cluster_summary(spark, sf_dir):
     rows = clusters.summary(emails(spark, sf_dir), assignments(spark, sf_dir), reps(spark, sf_dir))
     return rows.withColumn("member_preview", F.array_join(
         F.transform("member_preview", lambda i: i.cast("string")), "|"))
 
 
+@query("cluster_roundtrip", _SUMMARY_SQL)
+def cluster_roundtrip(spark, sf_dir):
+    """Saves and reloads a cluster result; the noise cluster takes no part in it."""
+    path = shared_path(spark, "clusters")
+    assigned, chosen = assignments(spark, sf_dir), materialize(reps(spark, sf_dir), "reps")
+    save_clusters(path, assigned, chosen, clusters.summary(emails(spark, sf_dir), assigned, chosen))
+    loaded, reloaded, summaries = load_clusters(spark, path)
+    sizes = clusters.sizes(loaded).join(reloaded, "cluster_id")
+    return sizes.join(summaries.drop("size", "representative_id"), "cluster_id").withColumnRenamed(
+        "rep_email_id", "representative_id").withColumn("member_preview", F.array_join(
+            F.transform("member_preview", lambda i: i.cast("string")), "|"))
+
+
 @query("top_clusters", over_groups("""
 SELECT t.cluster_id, t.size, substring(coalesce(e.subject, 'No subject'), 1, 60) AS subject,
   substring(coalesce(e.from_hdr, 'Unknown'), 1, 60) AS from_hdr
