@@ -44,19 +44,21 @@ def _rooted(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], possible, hub_rounds: int = 2,
-                columns: tuple[str, ...] = ()) -> DataFrame:
+                columns: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
     """``node, root`` of all nodes joined by verified pairs that share a block.
 
     ``blocks`` has ``block, node`` and ``columns``; ``verify`` takes distinct pairs ``a, b`` and
     returns those that link; ``possible(left, right)`` is a cheap necessary condition on struct
-    columns of two rows of one block. First every row of a block is compared with one hub of it
+    columns of two rows of one block; ``known`` are pairs ``a, b`` that link anyway (each b has one a). First every row of a block is compared with one hub of it
     (another one in every round), which takes as many comparisons as rows and joins whole groups of
     copies. Then only rows of one block that are still in different groups are compared, every one of them,
     so no link between groups is lost.
     """
     payload = ("node", *columns)
-    roots = tested = None
-    links = []
+    tested, links, roots = None, [], None
+    if known is not None:
+        links.append(known.select("a", "b"))
+        roots = known.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         nonlocal tested

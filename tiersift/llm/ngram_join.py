@@ -83,9 +83,27 @@ def _frequent(documents: DataFrame, width: int, t: int, limit: int) -> np.ndarra
     return np.sort(np.array([r[0] for r in rows.collect()], dtype=np.int64).view(np.uint64))
 
 
-def _overlaps(documents: DataFrame, pairs: DataFrame, sizes: DataFrame, frequent: np.ndarray, width: int,
+def _promising(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Pairs ``a, b, na, nb`` whose leading n-grams have enough in common.
+
+    Of two sets, the one whose lead ends first in the global order has all common n-grams up to there in both
+    leads, and can share at most what it has after its lead. Leads travel as 32-bit hashes: a
+    collision can only let a pair pass.
+    """
+    leads = sets.filter("size(lead) > 0").select("doc_id", "n", F.transform("lead", lambda x: F.hash(x)).alias("lead"),
+                                        (F.col("n") - F.size("lead")).alias("after"))
+    one = pairs.join(leads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lead_b"),
+                                  F.col("after").alias("after_b")), "b")
+    two = one.join(leads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("lead").alias("lead_a"),
+                                F.col("after").alias("after_a")), "a")
+    most = F.size(F.array_intersect("lead_a", "lead_b")) + F.greatest("after_a", "after_b")
+    return two.filter(most * (100 + t) >= (F.col("na") + F.col("nb")) * t).select("a", "b", "na", "nb").distinct()
+
+
+def _overlaps(documents: DataFrame, pairs: DataFrame, sets: DataFrame, frequent: np.ndarray, width: int,
               t: int, fragments: int) -> DataFrame:
     """Pairs ``a, b`` whose summed partial counts reach the threshold."""
+    pairs = materialize(_promising(pairs, sets, t), "promising")
     ids = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
     small = ids.count() <= _BROADCAST_IDS
     wanted = documents.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("node"), "left_semi")
@@ -106,15 +124,15 @@ def _overlaps(documents: DataFrame, pairs: DataFrame, sizes: DataFrame, frequent
                 [pa.array(ids_, pa.int64()), pa.array(frags, pa.int32()), lists(segments, pa.int64())],
                 ["node", "fragment", "grams"])
 
-    segments = materialize(wanted.dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(
+    segments = materialize(wanted.select("doc_id", "text").mapInArrow(
         cut, "node long, fragment int, grams array<long>"), "segments")
     left = pairs.join(segments.withColumnRenamed("node", "b").withColumnRenamed("grams", "more"), "b")
     met = left.join(segments.withColumnRenamed("node", "a"), ["a", "fragment"])
-    partial = met.select("a", "b", F.size(F.array_intersect("grams", "more")).cast("long").alias("common"))
-    total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    sized = total.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.filter(F.col("common") * 100 >= t * (F.col("na") + F.col("nb") - F.col("common")))
+    partial = met.select("a", "b", "na", "nb", "fragment", F.size(
+        F.array_intersect("grams", "more")).cast("long").alias("common"))
+    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))  # an id may be repeated
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return total.filter(F.col("common") * 100 >= t * (F.col("na") + F.col("nb") - F.col("common")))
 
 
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
@@ -126,14 +144,16 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     frequent = _frequent(documents, width, t, frequent_limit)
 
     def prefixes(batches):
+        seen = set()  # of a partition: copies after the first take no part in the search
         for batch in batches:
             n, one, two, leads = [], [], [], []
             for _, own, grams in _sets(batch, width):
-                a, b = sequence_hash(own)
+                key = sequence_hash(own)
                 n.append(len(grams))
-                one.append(a)
-                two.append(b)
-                leads.append(_prefix(grams, frequent, t).view(np.int64))
+                one.append(key[0])
+                two.append(key[1])
+                leads.append(grams[:0].view(np.int64) if key in seen else _prefix(grams, frequent, t).view(np.int64))
+                seen.add(key)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                  lists(leads, pa.int64())], ["doc_id", "n", "k1", "k2", "lead"])
@@ -141,21 +161,22 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sets = materialize(documents.mapInArrow(
         prefixes, "doc_id long, n long, k1 long, k2 long, lead array<long>"), "sets")
     classes = materialize(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
-    firsts = materialize(sets.join(classes.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(
-        ["doc_id"]).select("doc_id", "n", "lead"), "firsts")
+        F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+    firsts = sets.filter("size(lead) > 0 AND doc_id IS NOT NULL")
     entries = firsts.select(F.posexplode("lead").alias("pos", "block"), F.col("doc_id").alias("node"), F.col("n").cast("int"))
     shared = entries.groupBy("block").agg(F.count("*").alias("rows")).filter("rows > 1").select("block")
     blocks = materialize(entries.join(shared, "block", "left_semi"), "blocks")
+    copies = firsts.select("doc_id", "k1", "k2").join(classes.filter("copies > 1"), ["k1", "k2"]).filter(
+        "doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     def possible(x, y):
-        """Enough n-grams are left, after the first common one, in sets of these sizes."""
+        """Enough n-grams are left, from the first common one on, in sets of these sizes."""
         rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"]).cast("long")
         return rest * (100 + t) >= (x["n"] + y["n"]).cast("long") * t
 
-    sizes = classes.select("node", "n")
     roots = link_blocks(blocks, lambda pairs: _overlaps(
-        documents, pairs, sizes, frequent, width, t, fragments), possible, columns=("pos", "n"))
+        documents, pairs, sets, frequent, width, t, fragments), possible, columns=("pos", "n"),
+        known=materialize(copies, "copies"))
     # two classes of copies may start at one id only if that id is repeated; then its least root counts
     named = classes.join(roots.groupBy("node").agg(F.min("root").alias("root")), "node", "left").select(
         F.xxhash64("k1", "k2").alias("content"), "k1", "k2", F.coalesce("root", "node").alias("component_id"), F.col("copies").alias("n"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersift.llm import ngram_join
+from tiersift.llm import ngram_join, packing, quality_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,13 @@ c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
 SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.node = s.doc_id""")
 def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_fourier_quality")
+def op3_fourier_quality(spark, sf_dir):
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
