@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersift.llm import ngram_join, packing, quality_model
+from tiersift.llm import decontaminate, ngram_join, packing, quality_model, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,25 @@ def op3_fourier_quality(spark, sf_dir):
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_bm25_decontamination")
+def op6_bm25_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_ftrl_toxicity")
+def op7_ftrl_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_extendible_hash_shards", f"""WITH
+h AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+  substr((('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT)::BIT::VARCHAR, 5) AS bits FROM documents),
+d AS (SELECT doc_id, bytes, bits, unnest(range(0, 61))::INTEGER AS depth FROM h),
+s AS (SELECT doc_id, bytes, depth, left(bits, depth) AS shard,
+  sum(bytes) OVER w AS total, min(bits) OVER w = max(bits) OVER w AS alone FROM d WINDOW w AS (PARTITION BY depth, left(bits, depth)))
+SELECT doc_id, arg_min(shard, depth) AS shard, min(depth) AS depth, any_value(bytes) AS bytes,
+  arg_min(total, depth) > {sharding.LIMIT} AS oversized FROM s WHERE total <= {sharding.LIMIT} OR alone GROUP BY doc_id""")
+def op9_extendible_hash_shards(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))

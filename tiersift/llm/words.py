@@ -15,6 +15,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+PUNCTUATION = SPACE.copy()  # white space and ASCII marks
+PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -25,6 +27,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and, in UTF-8, of the capitals of Latin-1."""
+    out = LOWER[data]
+    if len(out) > 1:
+        out[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) * np.uint8(32)
+    return out
+
+
 def text_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``first, last, bytes, offsets`` for stretches of rows of about ``limit`` bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
@@ -43,15 +53,15 @@ def text_chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> I
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts.
+    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, or runs of other bytes than those of ``gap``.
 
     ``starts``/``ends`` are byte positions, ``bounds[i]:bounds[i+1]`` the words of text i.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
-        solid = ~SPACE[data]
+        solid = ~gap[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         opens, closes = solid.copy(), solid.copy()
