@@ -1,0 +1,67 @@
+"""From raw documents to packed sequences: quality, lines, near copies, benchmark leaks, packing.
+
+Every stage takes what the one before kept, as written to shared storage, and all but the last return the columns
+of ``documents``. A stage drops rows by their ids: rows repeated with one id share its fate, rows without an id are never dropped.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, quality_model
+from tiersift.runtime import materialize
+
+#: Learnt models and searches have no SQL form; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_model.quality_scores(docs, labels)
+    return _without(docs, scored.filter("predicted = 0"))
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that resemble an earlier line; ``n_chars`` follows the text."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.select(*[F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias(c) if c == "n_chars" else c
+                         for c in docs.columns])
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near copies."""
+    return _without(docs, ngram_join.ngram_components(docs).filter("doc_id <> component_id"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("lines", distinct_lines),
+    ("near_copies", one_of_near_copies),
+    ("leaks", without_leaks),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

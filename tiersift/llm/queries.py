@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tiersift.llm import decontaminate, ngram_join, packing, quality_model, sharding, toxicity
+import corpus_pipeline
+from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +78,15 @@ SELECT doc_id, arg_min(shard, depth) AS shard, min(depth) AS depth, any_value(by
   arg_min(total, depth) > {sharding.LIMIT} AS oversized FROM s WHERE total <= {sharding.LIMIT} OR alone GROUP BY doc_id""")
 def op9_extendible_hash_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_fuzzy_line_dedup")
+def op5_fuzzy_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"),
+                       F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
