@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, sharding, toxicity
+from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op5_fuzzy_line_dedup(spark, sf_dir):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op1_decision_list")
+def op1_decision_list(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
