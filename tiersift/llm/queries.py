@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding, toxicity
+from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,10 @@ def pipeline(spark, sf_dir):
 @query("op1_decision_list")
 def op1_decision_list(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_feistel_pseudonyms")
+def op2_feistel_pseudonyms(spark, sf_dir):
+    """The key is a demonstration value; a real one comes from a secret store."""
+    replaced = pseudonyms.with_pseudonyms(table(spark, sf_dir, "documents"), key="demonstration")
+    return replaced.select("doc_id", F.col("_n_replaced").alias("n_replaced"), "text")
