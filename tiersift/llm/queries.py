@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tiersift.llm import decontaminate, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, toxicity
+from tiersift.llm import (
+    decontaminate, id_coder, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +104,8 @@ def op2_feistel_pseudonyms(spark, sf_dir):
     """The key is a demonstration value; a real one comes from a secret store."""
     replaced = pseudonyms.with_pseudonyms(table(spark, sf_dir, "documents"), key="demonstration")
     return replaced.select("doc_id", F.col("_n_replaced").alias("n_replaced"), "text")
+
+
+@query("op4_context_mixing_ids")
+def op4_context_mixing_ids(spark, sf_dir):
+    return id_coder.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
