@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiersift.runtime import materialize
@@ -44,13 +44,13 @@ def _rooted(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], possible, hub_rounds: int = 2,
-                columns: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+                columns: tuple[str, ...] = (), known: DataFrame | None = None, central: Column | None = None) -> DataFrame:
     """``node, root`` of all nodes joined by verified pairs that share a block.
 
     ``blocks`` has ``block, node`` and ``columns``; ``verify`` takes distinct pairs ``a, b`` and
     returns those that link; ``possible(left, right)`` is a cheap necessary condition on struct
     columns of two rows of one block; ``known`` are pairs ``a, b`` that link anyway (each b has one a). First every row of a block is compared with one hub of it
-    (another one in every round), which takes as many comparisons as rows and joins whole groups of
+    (the least ``central``, another one of equals in every round), which takes as many comparisons as rows and joins whole groups of
     copies. Then only rows of one block that are still in different groups are compared, every one of them,
     so no link between groups is lost.
     """
@@ -77,7 +77,8 @@ def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
     for turn in range(hub_rounds):
         seen = _rooted(rows, roots)
         hubs = seen.groupBy("block").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), *payload, "root")).alias("hub"),
+            F.min(F.struct((F.lit(0) if central is None else central).alias("place"),
+                           F.xxhash64("node", F.lit(turn)).alias("order"), *payload, "root")).alias("hub"),
             F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         met = seen.join(hubs.select("block", "hub"), "block").filter(F.col("root") != F.col("hub.root"))
         met = met.filter(possible(F.struct(*payload), F.col("hub")))

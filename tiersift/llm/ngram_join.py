@@ -24,7 +24,7 @@ from tiersift.llm.words import LOWER, Words, lists, sequence_hash, shingle_hashe
 from tiersift.runtime import join_per_key, materialize
 
 FRAGMENTS = 8
-FREQUENT_LIMIT = 100_000  # n-grams whose frequency is told to every task; others are ordered by hash
+FREQUENT_LIMIT = 200_000  # n-grams whose frequency is told to every task; others are ordered by hash
 _BROADCAST_IDS = 1_000_000  # ids of candidates sent to all tasks (16 MB); beyond it they are joined by shuffle
 
 
@@ -55,23 +55,29 @@ def _prefix(grams: np.ndarray, frequent: np.ndarray, t: int) -> np.ndarray:
     return np.concatenate([rare, grams[late][:size - len(rare)]]) if len(rare) < size else rare
 
 
-def _frequent(documents: DataFrame, width: int, t: int, limit: int) -> np.ndarray:
-    """Up to ``limit`` n-grams that lead many sets; which ones only decides speed, never results."""
+def _frequent(documents: DataFrame, width: int, limit: int) -> np.ndarray:
+    """Up to ``limit`` n-grams that many different texts have; which ones only decides speed, never results.
+
+    Counts are summed inside every partition, and only those that stand out there are summed over all.
+    """
 
     def counted(batches):
-        found, size = [], 0
+        found, size, seen = [], 0, set()
 
         def flush():
             grams, n = np.unique(np.concatenate(found), return_counts=True)
-            kept = n >= 4
+            kept = n >= 3
             return pa.RecordBatch.from_arrays(
                 [pa.array(grams[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], ["gram", "n"])
 
         for batch in batches:
-            for _, _, grams in _sets(batch, width):
-                lead = grams[:len(grams) - _needed(len(grams), t) + 1]
-                found.append(lead)
-                size += len(lead)
+            for _, own, grams in _sets(batch, width):
+                key = sequence_hash(own)
+                if len(grams) == 0 or key in seen:
+                    continue
+                seen.add(key)
+                found.append(grams)
+                size += len(grams)
                 if size > 4_000_000:
                     yield flush()
                     found, size = [], 0
@@ -83,50 +89,68 @@ def _frequent(documents: DataFrame, width: int, t: int, limit: int) -> np.ndarra
     return np.sort(np.array([r[0] for r in rows.collect()], dtype=np.int64).view(np.uint64))
 
 
-def _promising(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+def _promising(pairs: DataFrame, sets: DataFrame, facts: DataFrame, t: int) -> DataFrame:
     """Pairs ``a, b, na, nb`` whose leading n-grams have enough in common.
 
     Of two sets, the one whose lead ends first in the global order has all common n-grams up to there in both
-    leads, and can share at most what it has after its lead. Leads travel as 32-bit hashes: a
+    leads, and can share at most what it has after its lead. ``facts`` bounds the common part of two leads by the n-grams of
+    each that any other lead has; the leads themselves settle what is left. They travel as 32-bit hashes: a
     collision can only let a pair pass.
     """
-    leads = sets.filter("size(lead) > 0").select("doc_id", "n", F.transform("lead", lambda x: F.hash(x)).alias("lead"),
-                                        (F.col("n") - F.size("lead")).alias("after"))
-    one = pairs.join(leads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("lead").alias("lead_b"),
-                                  F.col("after").alias("after_b")), "b")
-    two = one.join(leads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("lead").alias("lead_a"),
-                                F.col("after").alias("after_a")), "a")
-    most = F.size(F.array_intersect("lead_a", "lead_b")) + F.greatest("after_a", "after_b")
-    return two.filter(most * (100 + t) >= (F.col("na") + F.col("nb")) * t).select("a", "b", "na", "nb").distinct()
-
-
-def _overlaps(documents: DataFrame, pairs: DataFrame, sets: DataFrame, frequent: np.ndarray, width: int,
-              t: int, fragments: int) -> DataFrame:
-    """Pairs ``a, b`` whose summed partial counts reach the threshold."""
-    pairs = materialize(_promising(pairs, sets, t), "promising")
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.withColumnsRenamed(
+            {"node": side, "n": f"n{side}", "after": f"after_{side}", "shared": f"shared_{side}"}), side)
+
+    def enough(common):
+        most = common + F.greatest("after_a", "after_b")
+        return most * (100 + t) >= (F.col("na") + F.col("nb")) * t
+
+    pairs = materialize(pairs.filter(enough(F.least("shared_a", "shared_b"))).drop("shared_a", "shared_b"), "able")
+    leads = sets.filter("size(lead) > 0").select("doc_id", F.transform("lead", lambda x: F.hash(x)).alias("lead"))
+    two = pairs.join(leads.withColumnsRenamed({"doc_id": "b", "lead": "lead_b"}), "b").join(
+        leads.withColumnsRenamed({"doc_id": "a", "lead": "lead_a"}), "a")
+    return two.filter(enough(F.size(F.array_intersect("lead_a", "lead_b")))).select("a", "b", "na", "nb").distinct()
+
+
+def _overlaps(documents: DataFrame, pairs: DataFrame, sets: DataFrame, facts: DataFrame, frequent: np.ndarray,
+              width: int, t: int, fragments: int) -> DataFrame:
+    """Pairs ``a, b`` whose summed partial counts reach the threshold.
+
+    Marks, the distinct 16-bit hashes of a set, come first: common marks plus the n-grams that share a mark with another of
+    their set are never fewer than the common n-grams, and a mark is a quarter of the bytes.
+    """
+    pairs = materialize(_promising(pairs, sets, facts, t), "promising")
     ids = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
     small = ids.count() <= _BROADCAST_IDS
     wanted = documents.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("node"), "left_semi")
 
     def cut(batches):
         for batch in batches:
-            ids_, frags, segments = [], [], []
+            ids_, frags, segments, marks = [], [], [], []
             doc = batch.column(0).to_numpy(zero_copy_only=False)
+            none, no_marks = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int16)
             for row, _, grams in _sets(batch, width):
                 late = np.isin(grams, frequent, assume_unique=True) if len(frequent) else np.zeros(len(grams), bool)
                 # the last fragment holds the frequent end of the order, the others equal ranges of hashes
                 part = np.where(late, fragments - 1, (grams >> np.uint64(32)) * np.uint64(fragments - 1) >> np.uint64(32))
-                for f in np.unique(part):
-                    ids_.append(doc[row])
-                    frags.append(int(f))
-                    segments.append(grams[part == f].view(np.int64))
+                own = np.unique(part)
+                ids_ += [doc[row]] * (len(own) + 1)
+                frags += [*own.tolist(), -1]
+                segments += [grams[part == f].view(np.int64) for f in own] + [none]
+                marks += [no_marks] * len(own) + [np.unique(grams.astype(np.uint16)).view(np.int16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_, pa.int64()), pa.array(frags, pa.int32()), lists(segments, pa.int64())],
-                ["node", "fragment", "grams"])
-
-    segments = materialize(wanted.select("doc_id", "text").mapInArrow(
-        cut, "node long, fragment int, grams array<long>"), "segments")
-    left = pairs.join(segments.withColumnRenamed("node", "b").withColumnRenamed("grams", "more"), "b")
+                [pa.array(ids_, pa.int64()), pa.array(frags, pa.int32()), lists(segments, pa.int64()), lists(marks, pa.int16())],
+                ["node", "fragment", "grams", "marks"])
+
+    cuts = materialize(wanted.select("doc_id", "text").mapInArrow(
+        cut, "node long, fragment int, grams array<long>, marks array<short>"), "segments")
+    marked, segments = cuts.filter("fragment = -1").select("node", "marks"), cuts.filter("fragment >= 0").drop("marks")
+    near = pairs.join(marked.withColumnsRenamed({"node": "b", "marks": "marks_b"}), "b").join(
+        marked.withColumnsRenamed({"node": "a", "marks": "marks_a"}), "a")
+    most = F.size(F.array_intersect("marks_a", "marks_b")) + F.least(
+        F.col("na") - F.size("marks_a"), F.col("nb") - F.size("marks_b"))
+    near = near.filter(most * (100 + t) >= (F.col("na") + F.col("nb")) * t).select("a", "b", "na", "nb").distinct()
+    left = near.join(segments.withColumnsRenamed({"node": "b", "grams": "more"}), "b")
     met = left.join(segments.withColumnRenamed("node", "a"), ["a", "fragment"])
     partial = met.select("a", "b", "na", "nb", "fragment", F.size(
         F.array_intersect("grams", "more")).cast("long").alias("common"))
@@ -141,7 +165,7 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """``doc_id, n_shingles, component_id`` per row; the component's name is its smallest id."""
     t = threshold_percent
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = _frequent(documents, width, t, frequent_limit)
+    frequent = _frequent(documents, width, frequent_limit)
 
     def prefixes(batches):
         seen = set()  # of a partition: copies after the first take no part in the search
@@ -166,6 +190,8 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     entries = firsts.select(F.posexplode("lead").alias("pos", "block"), F.col("doc_id").alias("node"), F.col("n").cast("int"))
     shared = entries.groupBy("block").agg(F.count("*").alias("rows")).filter("rows > 1").select("block")
     blocks = materialize(entries.join(shared, "block", "left_semi"), "blocks")
+    facts = materialize(blocks.groupBy("node").agg(F.count("*").alias("shared")).join(
+        firsts.select(F.col("doc_id").alias("node"), "n", (F.col("n") - F.size("lead")).alias("after")), "node"), "facts")
     copies = firsts.select("doc_id", "k1", "k2").join(classes.filter("copies > 1"), ["k1", "k2"]).filter(
         "doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
@@ -175,8 +201,8 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return rest * (100 + t) >= (x["n"] + y["n"]).cast("long") * t
 
     roots = link_blocks(blocks, lambda pairs: _overlaps(
-        documents, pairs, sets, frequent, width, t, fragments), possible, columns=("pos", "n"),
-        known=materialize(copies, "copies"))
+        documents, pairs, sets, facts, frequent, width, t, fragments), possible, columns=("pos", "n"),
+        known=materialize(copies, "copies"), central=F.col("pos"))  # few rarer n-grams: the unedited text of a block
     # two classes of copies may start at one id only if that id is repeated; then its least root counts
     named = classes.join(roots.groupBy("node").agg(F.min("root").alias("root")), "node", "left").select(
         F.xxhash64("k1", "k2").alias("content"), "k1", "k2", F.coalesce("root", "node").alias("component_id"), F.col("copies").alias("n"))
