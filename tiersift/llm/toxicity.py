@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tiersift.llm.quality_model import remainder
 from tiersift.llm.words import PUNCTUATION, Words, lowered, mix, text_chunks
-from tiersift.runtime import materialize
 
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 0.1, 5
@@ -75,7 +74,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_LEARNT) ->
     order = F.xxhash64("doc_id", F.lit(17))
     labels = labels.filter((F.shiftrightunsigned(order, 40) / float(1 << 24)) < share)
     shards = max(1, min(SHARDS, -(-int(total * share) // ROWS_PER_SHARD)))
-    rows = materialize(documents.select("doc_id", "text").join(labels, "doc_id").withColumn("order", order), "labelled")
+    # at most about max_rows labels: sent to every task, so that only labelled texts are shuffled
+    rows = documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id").withColumn("order", order)
     shard = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards))
     dealt = rows.select("text", F.col("y").cast("double").alias("y"), "order", shard.cast("int").alias("shard"))
     dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "order")
