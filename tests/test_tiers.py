@@ -10,6 +10,7 @@ from tiersift.plans.triage import Settings, simple_triage, triage
 from tiersift.runtime import materialize
 from tiersift.sources.store import ResultStore
 from workload.fixtures import emails
+from workload.labeller import wording_labeller
 
 SF = "/root/testdata/sf0.001"
 
@@ -154,7 +155,7 @@ def test_embed_builds_one_model_per_task(spark, make_emails):
 def test_whole_run_labels_every_message_once(spark, messages, tmp_path):
     store = ResultStore(spark, str(tmp_path / "store"))
     settings = Settings(n_init=2)
-    run = triage(messages, labeller=scoring.wording_labeller, store=store, settings=settings)
+    run = triage(messages, labeller=wording_labeller, store=store, settings=settings)
     final = run.final.collect()
     assert len(final) == messages.count() == len({r["email_id"] for r in final})
     assert sum(r["n"] for r in run.funnel().collect()) == len(final)
@@ -168,5 +169,5 @@ def test_whole_run_labels_every_message_once(spark, messages, tmp_path):
 
 def test_without_a_model_every_open_message_is_ambiguous(spark, make_emails):
     rows = make_emails(*[{"fingerprint": f"f{i}", "sender_domain": "x.org", "snippet": f"word{i % 3} text"} for i in range(12)])
-    run = triage(rows, labeller=scoring.wording_labeller, settings=Settings(n_init=1))
+    run = triage(rows, labeller=wording_labeller, settings=Settings(n_init=1))
     assert run.by_model is None and run.ambiguous.count() == 12 and run.final.count() == 12

@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        mark = current.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        mark = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
+                           F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break
         seen = tuple(mark)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ SALTS = 16
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only for local sessions."""
+    """The shared folder the cluster names, else one below the session's own warehouse."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -21,9 +20,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured
     current = sc.getCheckpointDir()
     if current is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tiersift-"))
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
         current = sc.getCheckpointDir()
     return current
 
@@ -41,12 +38,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Give a plain table scan at least one partition per core before costly or repeated work.
+    """Deal out a table that is one input split, at most ``spark.sql.files.maxPartitionBytes`` in all.
 
-    A table of the size of a cluster's input already has more partitions and is left alone.
+    Any larger table is read in several splits and left alone.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    return table if table.rdd.getNumPartitions() > 1 else table.repartition(cores)
 
 
 def packed(table: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:

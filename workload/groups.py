@@ -7,6 +7,7 @@ from tiersift.runtime import materialize, shared_path
 from tiersift.sources.clusters import load_clusters, save_clusters
 from workload.fixtures import emails, table
 from workload.learning import vocabulary_sql
+from workload.labeller import wording_labeller
 from workload.registry import query
 from workload.sqlbase import EMAILS
 
@@ -139,7 +140,7 @@ def kmeans_text(spark, sf_dir):
 _PLAIN = "concat_ws(' ', nullif(subject, ''), nullif(snippet, ''), nullif(sender_domain, ''))"
 
 
-@query("embed_default", f"""WITH {EMAILS}, {vocabulary_sql(500).replace("concat(subject, ' ', snippet)", _PLAIN)}
+@query("embed_default", f"""WITH {EMAILS}, {vocabulary_sql(500, _PLAIN)}
 SELECT email_id, (SELECT count(*) FROM v)::INT AS dimensions, (count(term) > 0)::INT::DOUBLE AS length
 FROM e LEFT JOIN wt USING (email_id) GROUP BY email_id""")
 def embed_default(spark, sf_dir):
@@ -148,7 +149,7 @@ def embed_default(spark, sf_dir):
         "embedding", F.lit(0.0), lambda t, x: t + x * x)), 6).alias("length"))
 
 
-# One representative per sender: the smallest message id of every From header and subject prefix.
+# One representative per sender: the smallest message id of every From header.
 _LINE_SQL = """concat('id:rep_', k, ' | from:''', from_hdr, ''' | subject:''', subject, ''' | snippet:''',
   CASE WHEN length(snippet) > 500 THEN concat(substring(snippet, 1, 500), '...') ELSE snippet END, '''',
   CASE WHEN len(url_domains) > 0 THEN concat(' | url_domains:[', array_to_string(list_transform(url_domains[1:5],
@@ -182,14 +183,14 @@ def prompt_batches(spark, sf_dir):
 
 
 @query("score_batches", f"""WITH {LINES_SQL},
-h AS (SELECT batch_id, id, lower(split_part(line, chr(10) || chr(10), 1)) AS txt FROM l),
+h AS (SELECT batch_id, id, lower(line) AS txt FROM l),
 c AS (SELECT batch_id, id, len(list_filter(['verify', 'urgent', 'expired', 'click here', 'bit.ly'],
   lambda w: contains(txt, w))) AS n FROM h)
 SELECT batch_id, id, CASE WHEN n > 0 THEN 'BAD' ELSE 'GOOD' END AS label,
   round(least(1.0, 0.6 + 0.1 * n), 6)::DOUBLE AS confidence, concat(n, ' signals') AS reason FROM c""")
 def score_batches(spark, sf_dir):
     prompts = scoring.batch_prompts(items(spark, sf_dir))
-    answered = scoring.score_batches(prompts, scoring.wording_labeller)
+    answered = scoring.score_batches(prompts, wording_labeller)
     return scoring.parse_responses(answered).withColumn("confidence", F.round("confidence", 6))
 
 

@@ -11,19 +11,25 @@ from workload.messages import FEATURES_SQL
 from workload.registry import query
 from workload.sqlbase import EMAILS, RULES, in_list, quoted
 
-TERMS_SQL = f"""tk AS (SELECT email_id, list_filter(
-    regexp_extract_all(lower(concat(subject, ' ', snippet)), {quoted(K.TOKEN_PATTERN)}, 0),
+def terms_sql(text="concat(subject, ' ', snippet)"):
+    return f"""tk AS (SELECT email_id, list_filter(
+    regexp_extract_all(lower({text}), {quoted(K.TOKEN_PATTERN)}, 0),
     lambda w: w NOT IN ({in_list(K.STOP_WORDS)})) AS tokens FROM e),
 tm AS (SELECT email_id, tokens, list_concat(tokens, list_transform(range(1, greatest(len(tokens), 1)),
     lambda i: concat(tokens[i], ' ', tokens[i + 1]))) AS terms FROM tk)"""
 
 
-def vocabulary_sql(size):
-    return f"""{TERMS_SQL},
+TERMS_SQL = terms_sql()
+
+
+def vocabulary_sql(size, text="concat(subject, ' ', snippet)"):
+    """Vocabulary and weights; without a size every term counts."""
+    bounds = f"""HAVING count(DISTINCT email_id) >= 2 AND count(DISTINCT email_id) <= 0.95 * (SELECT count(*) FROM tm)
+  ORDER BY tf DESC, term LIMIT {size}""" if size else ""
+    return f"""{terms_sql(text)},
 x AS (SELECT email_id, unnest(terms) AS term FROM tm),
 v AS (SELECT term, count(*) AS tf, count(DISTINCT email_id) AS df FROM x GROUP BY term
-  HAVING count(DISTINCT email_id) >= 2 AND count(DISTINCT email_id) <= 0.95 * (SELECT count(*) FROM tm)
-  ORDER BY tf DESC, term LIMIT {size}),
+  {bounds}),
 vi AS (SELECT *, ln((1.0 + (SELECT count(*) FROM tm)) / (1.0 + df)) + 1 AS idf FROM v),
 wr AS (SELECT email_id, term, df, count(*) * any_value(idf) AS raw FROM x JOIN vi USING (term) GROUP BY email_id, term, df),
 wt AS (SELECT email_id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY email_id)) AS weight FROM wr)"""

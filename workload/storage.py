@@ -1,8 +1,12 @@
 """Result-store views over a write log taken from the event table."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tiersift.operators import results
+from tiersift.runtime import shared_path
+from tiersift.sources.store import ResultStore
 from workload.fixtures import table
 from workload.registry import query
 
@@ -78,3 +82,23 @@ def store_expire(spark, sf_dir):
 @query("store_export", f"WITH {_STORE} SELECT {_SHOWN} FROM c ORDER BY moment DESC")
 def store_export(spark, sf_dir):
     return shown(results.export(store(spark, sf_dir)))
+
+
+@query("store_write_cycle", f"""WITH w AS (SELECT {_WRITES.format(text='VARCHAR')}, event_id % 4 AS batch FROM events),
+k AS (SELECT fingerprint, max_by(struct_pack(label := label, confidence := confidence, source := source), batch * 1e12 + seq) AS r
+  FROM w GROUP BY fingerprint UNION ALL
+  SELECT concat('late-', fingerprint), max_by(struct_pack(label := label, confidence := confidence, source := source), seq)
+  FROM w WHERE batch = 0 GROUP BY fingerprint)
+SELECT fingerprint, r.label AS label, round(r.confidence, 6) AS confidence, r.source AS source FROM k""")
+def store_write_cycle(spark, sf_dir):
+    """Three writes, compaction, a fourth, expiry of nothing, and one that comes later under the number before the last."""
+    writes = spark.sql(f"SELECT {_WRITES.format(text='STRING')}, event_id % 4 AS batch FROM {{events}}",
+                       events=table(spark, sf_dir, "events")).withColumnRenamed("seq", "write_order")
+    kept, at = ResultStore(spark, shared_path(spark, "cycle")), dt.datetime(2024, 1, 1)
+    for number in range(3):
+        kept.upsert(writes.filter(F.col("batch") == number), at, number)
+    kept.compact()
+    kept.upsert(writes.filter("batch = 3"), at, 4)
+    kept.expire(at + dt.timedelta(days=1), days=5)
+    kept.upsert(writes.filter("batch = 0").withColumn("fingerprint", F.concat(F.lit("late-"), "fingerprint")), at, 3)
+    return kept.current().select("fingerprint", "label", F.round("confidence", 6).alias("confidence"), "source")
