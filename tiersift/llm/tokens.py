@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
@@ -14,7 +15,7 @@ _PIECES = re.compile(r"[ \n]?[^ \n]+")
 # Runs of white space, white space at an end and other white space or control characters can be part of one token:
 # such a text is encoded whole.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-_BREAK = " \x01 "
+_MARKS, _LATIN_END = ".,;:!?", "\u0250"
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -29,38 +30,57 @@ class PieceEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # lower case and white space do not count: words alone have the same ids
+        self.lowers = self._encode("Aé Á").tobytes() == self._encode("aé").tobytes() + self._encode("á").tobytes()
+        # the same vocabulary and merges for words that need no normalising and no cutting
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": bytes_only}))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # a tokenizer that drops white space: this piece, alone between blanks, is one id that marks a boundary
-        marker = self._encode(f"a{_BREAK}a")
-        self.marker = int(marker[1]) if len(marker) == 3 and marker[0] == marker[2] else None
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """The word without a closing mark and the mark, always separate tokens. Case and blanks go where they do not count."""
+        piece = piece.lstrip(" \n") if self.lowers else piece
+        word, mark = (piece[:-1], piece[-1]) if piece[-1] in _MARKS and piece[-2:-1].isalpha() else (piece, "")
+        return (word.lower() if self.lowers and max(word) < _LATIN_END else word), mark
+
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces from one call: pieces joined by the marker, whose id is where they part."""
-        alone = [p for p in pieces if self.marker is None or _ODD.search(p)]
-        for piece, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        joined = [p for p in pieces if p not in self.known]
-        if joined:
-            ids = self._encode(_BREAK.join(joined))
-            cuts = np.flatnonzero(ids == self.marker)
-            low, high = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            raw = ids.tobytes()
-            self.known.update((p, raw[4 * i:4 * j]) for p, i, j in zip(joined, low, high, strict=True))
+        """Ids of new pieces; of each different word only once."""
+        parts = [self._parts(p) for p in pieces]
+        words = {x for p in parts for x in p if x} - self.known.keys()
+        again = words & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        self._encode_words(list(words - again))
+        self.known[""] = b""
+        known = self.known
+        known.update((piece, known[word] + known[mark]) for piece, (word, mark) in zip(pieces, parts, strict=True))
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of Latin letters, with the blank before them where it counts, are one unit of the tokenizer; others go through all of it."""
+        simple, other = [], []
+        for w in words:
+            letters = w if self.lowers else w.removeprefix(" ")
+            (simple if letters.isalpha() and max(w) < _LATIN_END else other).append(w)
+        for part, tokenizer in ((simple, self.plain), (other, self.tokenizer)):
+            found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        pieces = [[t] if _irregular(t) else _PIECES.findall(t) for t in texts]
+        pieces = [None if _irregular(t) else _PIECES.findall(t) for t in texts]
         if len(self.known) > CACHE_LIMIT // 2:
             self.known, self.older = {}, self.known
-        new = set().union(*pieces) - self.known.keys()
+        new = set().union(*[p for p in pieces if p]) - self.known.keys()
         again = new & self.older.keys()
         self.known.update((p, self.older[p]) for p in again)
         self._learn(list(new - again))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        known = self.known.__getitem__
+        return [self._encode(t).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, pieces, strict=True)]
 
 
 def encoder(path: str) -> PieceEncoder:
