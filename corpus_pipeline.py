@@ -17,9 +17,14 @@ from tiersift.runtime import materialize
 ORACLE_SQL = None
 
 
+#: So many ids at most are sent to all tasks (16 MB); more are joined by shuffle, with the same result.
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
