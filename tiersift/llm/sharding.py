@@ -87,6 +87,8 @@ def shard_documents(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Write the shards and return ``doc_id, shard, depth, bytes, oversized`` of every row as read back from them."""
     path = shared_path(documents.sparkSession, "shards")
     write_shards(documents.select("doc_id", "text"), path, limit)
-    back = documents.sparkSession.read.parquet(path)
+    kind = documents.schema["doc_id"].dataType.simpleString()  # told, as no files come from an empty table
+    back = documents.sparkSession.read.schema(
+        f"doc_id {kind}, text string, _depth int, _bytes long, _oversized boolean, _shard string").parquet(path)
     return back.select("doc_id", F.substring("_shard", 2, HASH_BITS).alias("shard"), F.col("_depth").alias("depth"),
                        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.col("_oversized").alias("oversized"))
