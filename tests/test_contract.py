@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as contract
 from workload.check import TABLES, compare, normal, rows_of
+from workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"ml_score", "model_roundtrip", "triage_simple", "scan_eml"}
@@ -18,7 +19,7 @@ def connection():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query_matches_sql(spark, connection, name):
     text, ok = compare(spark, SF, name, contract.queries()[name], contract.oracle_sql().get(name), connection)
     assert ok, text

@@ -57,6 +57,7 @@ FEATURE_NAMES = [
 ]
 
 # --- fixed values: patterns of the field derivation ----------------------------------------
+# one class with the same matches: an alternation repeated by + recurses in the JVM's regex engine
 URL_PATTERN = r"(?i)https?://[!$-_a-z]+"
 NETLOC_PATTERN = r"(?i)^https?://([^/?#]*)"
 ANGLE_ADDRESS_PATTERN = r"<([^>]+@[^>]+)>"
