@@ -37,3 +37,35 @@ def test_two_words_with_one_changed_are_found(spark):
         pairs.append((f"{first} {second}", f"{first} #{second[1:]}"))
     assert all(alike(*p) for p in pairs)
     assert sum(found(spark, pairs)) >= 45
+
+
+def edited(draw, line, letters):
+    """The line with single characters changed while it stays similar."""
+    new = line
+    while True:
+        i = draw.randrange(len(line))
+        more = new[:i] + draw.choice(letters) + new[i + 1:]
+        if not alike(line, more):
+            return new
+        new = more
+
+
+def test_lines_without_blanks_and_short_lines_are_found(spark):
+    draw, pairs = random.Random(12), []
+    chinese = "".join(map(chr, range(0x4E00, 0x5000)))
+    for _ in range(40):  # a change near the start, no blank anywhere
+        line = run(draw, 80, chinese)
+        pairs.append((line, "x" + line[1:3] + "y" + line[4:]))
+        line = f"https://{run(draw, 70)}"
+        pairs.append((line, line[:40] + "#" + line[41:]))
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    for n_words in (1, 2, 3):
+        for _ in range(40):
+            line = " ".join(run(draw, draw.randrange(10, 30), latin) for _ in range(n_words))
+            pairs.append((line, edited(draw, line, latin)))
+    for length in (25, 34, 60, 90, 300):  # about the limits between the kinds of keys
+        for _ in range(40):
+            line = run(draw, length, latin + "    ")
+            pairs.append((line, edited(draw, line, latin)))
+    pairs = [p for p in pairs if p[0] != p[1] and alike(*p)]
+    assert sum(found(spark, pairs)) >= 0.99 * len(pairs)
