@@ -42,8 +42,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies."""
-    return _without(docs, ngram_join.ngram_components(docs).filter("doc_id <> component_id"))
+    """The document with the smallest id of every group of near copies: five words, a similarity of 0.8."""
+    return _without(docs, ngram_join.ngram_components(docs, width=5, threshold_percent=80).filter("doc_id <> component_id"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

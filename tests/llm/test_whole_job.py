@@ -2,7 +2,8 @@
 
 import random
 
-from tiersift.llm import line_dedup
+import corpus_pipeline
+from tiersift.llm import decontaminate, line_dedup, pseudonyms
 
 
 def table(spark, rows):
@@ -69,3 +70,11 @@ def test_lines_without_blanks_and_short_lines_are_found(spark):
             pairs.append((line, edited(draw, line, latin)))
     pairs = [p for p in pairs if p[0] != p[1] and alike(*p)]
     assert sum(found(spark, pairs)) >= 0.99 * len(pairs)
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    base = [f"w{i}" for i in range(500)]
+    other = base[:200] + [f"x{i}" for i in range(45)] + base[245:]
+    docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(other), "en", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()] == [1]
