@@ -78,3 +78,18 @@ def test_near_copies_of_five_words_and_four_fifths_go(spark):
     docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(other), "en", "s", 1)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()] == [1]
+
+
+def test_a_long_item_does_not_loosen_short_ones(spark):
+    draw = random.Random(13)
+    short = [f"s{i}" for i in range(30)]
+    long = [f"l{i}" for i in range(2000)]
+    scattered = [f"n{i}" for i in range(3000)]
+    for k, w in enumerate(draw.sample(short, 30)):
+        scattered[k * 60] = w
+    rows = [(1, " ".join(scattered)), (2, " ".join(scattered[:100:3] + short)), (3, " ".join(long))]
+    items = [(1, " ".join(short)), (2, " ".join(long))] + [(i, " ".join(f"o{i}x{k}" for k in range(10 + i))) for i in range(3, 20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, several = (decontaminate.leaks(table(spark, rows), benchmark, max_words=m).collect() for m in (10**6, 500))
+    assert {(r["doc_id"], r["item_id"]) for r in one} == {(2, 1), (3, 2)}
+    assert sorted(map(tuple, one)) == sorted(map(tuple, several))

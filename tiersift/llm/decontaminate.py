@@ -2,7 +2,8 @@
 
 The index holds the items' distinct words in postings cut at common item numbers into blocks, and for each word and block the
 largest impact. Impacts are divided by an item's score for its own text, so one threshold serves all items.
-Passages overlap so that an item of any length lies whole in one. For all passages of a chunk at once, blocks whose summed largest
+Items are grouped by length, in powers of two from 32 words; passages have twice the words of the group's limit and overlap by half, so that
+an item of any length lies whole in one and no long item loosens the test of a short one. For all passages of a chunk at once, blocks whose summed largest
 impacts stay below the threshold are skipped; WAND goes through the others item by item. All items at or above the
 threshold are retrieved, none is cut off, and a hit counts only if the passage has most words of the
 item's question and most of its answer.
@@ -10,7 +11,7 @@ item's question and most of its answer.
 Question and answer of an item are its text before and after the last line break, or its halves by words when it has
 one line. Edge cases: null and empty texts have no passages, items without words are never found, repeated rows
 are reported as often as they occur, an empty table gives an empty result. The index goes to every task: its size is
-checked against ``MAX_INDEX_WORDS``, beyond which the items are searched in several parts, one pass over the texts each.
+checked against ``MAX_INDEX_WORDS``, beyond which the items are searched in several parts, one pass over the texts each, with counts of words taken over all items.
 """
 
 from __future__ import annotations
@@ -42,6 +43,31 @@ def _hashes(texts: list[str | None]) -> list[np.ndarray]:
     return found
 
 
+@dataclass
+class Counts:
+    """Of the whole benchmark: in how many items each word is, how many items and words there are."""
+    terms: np.ndarray  # sorted word hashes
+    df: np.ndarray
+    n_items: int = 0
+    n_words: int = 0
+
+    @classmethod
+    def none(cls) -> Counts:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def plus(self, texts: list[str | None]) -> Counts:
+        whole = _hashes(texts)
+        each = np.concatenate([self.terms, *[np.unique(w) for w in whole]])
+        terms, at = np.unique(each, return_inverse=True)
+        df = np.bincount(at, weights=np.append(self.df, np.ones(len(each) - len(self.df))), minlength=len(terms))
+        return Counts(terms, df.astype(np.int64), self.n_items + len(whole), self.n_words + sum(map(len, whole)))
+
+
+def _limit(n_words: int) -> int:
+    """Most words of an item in the group of one with so many."""
+    return max(32, 1 << max(n_words - 1, 0).bit_length())
+
+
 def _halves(text: str | None) -> tuple[str, str]:
     text = (text or "").strip()
     head, _, tail = text.rpartition("\n")
@@ -65,12 +91,13 @@ class Index:
     passage: int  # words of a passage; the step is half of it
 
     @classmethod
-    def build(cls, items: list[tuple[int, str | None]]) -> Index:
+    def build(cls, items: list[tuple[int, str | None]], counts: Counts | None = None, passage: int | None = None) -> Index:
         halves = [_halves(t) for _, t in items]
         whole = _hashes([t for _, t in items])
         longest = max((len(w) for w in whole), default=0)
         entries, lengths = [], np.array([len(w) for w in whole], dtype=float)
-        mean = lengths.mean() if len(lengths) else 1.0
+        counts = counts or Counts.none().plus([t for _, t in items])
+        mean = counts.n_words / counts.n_items if counts.n_items else 1.0
         for i, w in enumerate(whole):
             term, tf = np.unique(w, return_counts=True)
             entries.append((term, np.full(len(term), i), tf))
@@ -80,7 +107,8 @@ class Index:
         order = np.lexsort((item, term))
         term, item, tf = term[order], item[order], tf[order]
         terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.repeat(np.log1p((len(items) - df + 0.5) / (df + 0.5)), df)
+        in_all = counts.df[np.searchsorted(counts.terms, terms)]
+        idf = np.repeat(np.log1p((counts.n_items - in_all + 0.5) / (in_all + 0.5)), df)
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(mean, 1e-9)))
         own = np.bincount(item, weights=impact, minlength=len(items))
         impact = impact / own[item]
@@ -89,7 +117,7 @@ class Index:
         np.maximum.at(largest, (np.repeat(np.arange(len(terms)), df), item // block), impact * (1 + 1e-6))
         return cls([i for i, _ in items], [np.unique(h) for h in _hashes([q for q, _ in halves])],
                    [np.unique(h) for h in _hashes([a for _, a in halves])], terms,
-                   np.append(first, len(item)), item, impact, block, largest, 2 * max(longest, 32))
+                   np.append(first, len(item)), item, impact, block, largest, passage or 2 * max(longest, 32))
 
     def search(self, query: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
         """All items of a block with score >= threshold for the distinct terms (numbers) of a passage: WAND.
@@ -169,21 +197,22 @@ def _candidates(words: Words, hashes: np.ndarray, index: Index, threshold: float
             yield owner, int(passage[cut[c]] - first[owner]), query, int(block)
 
 
-def _search_texts(documents: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:
+def _search_texts(documents: DataFrame, indexes: list[Index], threshold: float, overlap: float) -> DataFrame:
     def work(batches):
-        step = index.passage // 2
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for row, _, data, offsets in text_chunks(batch, "text"):
                 words = Words(lowered(data), offsets, PUNCTUATION)
                 hashes = words.hashes()
-                for text, number, query, block in _candidates(words, hashes, index, threshold):
-                    for item, score in index.search(query, block, threshold):
-                        low = words.bounds[text] + number * step
-                        own = np.unique(hashes[low:min(low + 2 * step, words.bounds[text + 1])])
-                        shares = index.overlap(item, own)
-                        if min(shares) >= overlap:
-                            rows.append((ids[row + text], index.ids[item], number, score, *shares))
+                for index in indexes:
+                    step = index.passage // 2
+                    for text, number, query, block in _candidates(words, hashes, index, threshold):
+                        for item, score in index.search(query, block, threshold):
+                            low = words.bounds[text] + number * step
+                            own = np.unique(hashes[low:min(low + 2 * step, words.bounds[text + 1])])
+                            shares = index.overlap(item, own)
+                            if min(shares) >= overlap:
+                                rows.append((ids[row + text], index.ids[item], number, score, *shares))
             kinds = (pa.int64(),) * 3 + (pa.float64(),) * 3
             columns = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -200,12 +229,24 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         F.col("item_id").cast("long"), "text", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n"))
     total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-total // max_words))
+    def items_of(part: int) -> list[tuple[int, str | None]]:
+        items = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").distinct()
+        return sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0], r[1] or ""))
+
+    counts, items = Counts.none(), []
+    for part in range(parts):
+        items = items_of(part)
+        counts = counts.plus([t for _, t in items])
     result = None
     for part in range(parts):  # one unless the benchmark outgrows what a task may hold
-        items = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", "text").distinct()
-        index = Index.build(sorted((tuple(r) for r in items.collect()), key=lambda r: (r[0], r[1] or "")))
-        if len(index.terms):
-            found = _search_texts(documents, index, threshold, overlap)
+        groups: dict[int, list] = {}
+        items = items if parts == 1 else items_of(part)
+        for item, words in zip(items, _hashes([t for _, t in items]), strict=True):
+            groups.setdefault(_limit(len(words)), []).append(item)
+        indexes = [Index.build(groups[limit], counts, 2 * limit) for limit in sorted(groups)]
+        indexes = [x for x in indexes if len(x.terms)]
+        if indexes:
+            found = _search_texts(documents, indexes, threshold, overlap)
             result = found if result is None else result.unionByName(found)
     if result is None:
         return documents.sparkSession.createDataFrame([], RESULT).withColumnRenamed("passage", "passages")
