@@ -72,6 +72,16 @@ def test_lines_without_blanks_and_short_lines_are_found(spark):
     assert sum(found(spark, pairs)) >= 0.99 * len(pairs)
 
 
+def test_every_character_of_an_address_changes_the_others(spark):
+    names = ["anna.bell", "bnna.bell", "anna.belk", "anna.cell"]
+    rows = [(i, f"{n}@mail.some-long-domain.example") for i, n in enumerate(names)] + [(9, "anna.bell@other.example")]
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.with_pseudonyms(table(spark, rows), "k").collect()}
+    assert len(set(got.values())) == len(rows) and all(v.count("@") == 1 for v in got.values())
+    for i in (1, 2, 3):
+        assert got[i].split("@")[1] == "mail.some-long-domain.example"
+        assert sum(a != b for a, b in zip(got[0].split("@")[0], got[i].split("@")[0], strict=True)) > 2
+
+
 def test_near_copies_of_five_words_and_four_fifths_go(spark):
     base = [f"w{i}" for i in range(500)]
     other = base[:200] + [f"x{i}" for i in range(45)] + base[245:]

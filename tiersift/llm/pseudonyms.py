@@ -2,7 +2,8 @@
 
 Numbers and dates are found by pattern and validated: real dates, octets up to 255, numbers that pass the Luhn test, telephone and
 social security numbers with possible parts; addresses and access keys are treated alike, by character. A value becomes a row of small numbers,
-each with its base; eight rounds add to one half a keyed digest of the other half, modulo the bases. This permutes the
+each with its base; eight rounds add to one half of the free ones (base above 1) a keyed digest of the other half and of the fixed ones (those of an
+address or key, the first digit of a card), modulo the bases. A single free number has no other half: it is shifted by the digest of the fixed ones. This permutes the
 values of a format, so equal values stay equal in all documents, different ones stay different, and the
 result is a valid value of the same form. Whoever has the key can undo it by subtracting in reverse order.
 
@@ -92,17 +93,19 @@ def _round(found: Column, key: str, turn: int) -> Column:
     """Add to one half of every value the keyed digest of its other half."""
 
     def one(s: Column) -> Column:
-        half = F.floor(F.size(s["v"]) / 2).cast("int")
-        other = F.slice(s["v"], half + 1, F.size(s["v"])) if turn % 2 == 0 else F.slice(s["v"], F.lit(1), half)
-        digest = F.sha2(F.concat(F.lit(f"{key}:{turn}:"), s["kind"], F.lit(":"), F.array_join(other, ",")), 512)
+        half = F.floor(F.size(s["free"]) / 2).cast("int")
+        other = F.slice(s["free"], half + 1, F.size(s["free"])) if turn % 2 == 0 else F.slice(s["free"], F.lit(1), half)
+        values = F.transform(other, lambda p: F.get(s["v"], p))
+        digest = F.sha2(F.concat(F.lit(f"{key}:{turn}:"), s["kind"], F.lit(":"), s["fixed"], F.lit(":"), F.array_join(values, ",")), 512)
 
         def moved(e: Column, i: Column) -> Column:
-            mine = i < half if turn % 2 == 0 else i >= half
-            step = F.conv(F.substr(digest, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("long")
+            rank = F.array_position(s["free"], i).cast("int") - 1  # -1 if fixed
+            mine = (rank >= 0) & (rank < half) if turn % 2 == 0 else rank >= half
+            step = F.conv(F.substr(digest, (rank % 32) * 4 + 1, F.lit(4)), 16, 10).cast("long")
             return F.when(mine, (e + step) % F.get(s["b"], i)).otherwise(e)
 
         return F.struct(s["x"].alias("x"), s["kind"].alias("kind"), F.transform(s["v"], moved).alias("v"),
-                        s["b"].alias("b"), s["o"].alias("o"))
+                        s["b"].alias("b"), s["o"].alias("o"), s["free"].alias("free"), s["fixed"].alias("fixed"))
 
     return F.transform(found, one)
 
@@ -149,6 +152,17 @@ def with_pseudonyms(documents: DataFrame, key: str, text_col: str = "text") -> D
             F.when(by_char & ~by_number, low).otherwise(none).alias("o"))
 
     rows = rows.withColumn("_f", F.transform("_f", prepared))
+
+    def split(s: Column) -> Column:
+        places = F.transform(s["b"], lambda b, i: F.when(b > 1, i).otherwise(-1))
+        fixed = F.transform(s["b"], lambda b, i: F.when(b > 1, F.lit("")).otherwise((F.get(s["v"], i) + F.get(s["o"], i)).cast("string")))
+        # separators do not tell numbers apart, and a check digit follows from the digits that change
+        tweak = F.when(s["kind"] == "telephone", "").when(s["kind"] == "card", F.substr(s["x"], F.lit(1), F.lit(1))).otherwise(
+            F.array_join(fixed, ","))
+        return F.struct(*[s[c].alias(c) for c in ("x", "kind", "v", "b", "o")],
+                        F.filter(places, lambda i: i >= 0).alias("free"), tweak.alias("fixed"))
+
+    rows = rows.withColumn("_f", F.transform("_f", split))
     for turn in range(ROUNDS):
         rows = rows.withColumn("_f", _round(F.col("_f"), key, turn))
     rows = rows.withColumn("_new", F.transform("_f", _rendered))
