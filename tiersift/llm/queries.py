@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tiersift.llm import (
-    decontaminate, id_coder, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, toxicity,
+    decontaminate, id_coder, importance, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules,
+    sharding, toxicity, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,34 @@ def op2_feistel_pseudonyms(spark, sf_dir):
 @query("op4_context_mixing_ids")
 def op4_context_mixing_ids(spark, sf_dir):
     return id_coder.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_jacobi_whitening")
+def op12_jacobi_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+BYTES_SQL = "list_transform(range(1, strlen(hex(word)), 2), lambda i: ('0x' || substr(hex(word), i, 2))::BIGINT)"
+
+
+@query("op13_importance_resampling", rf"""WITH
+tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+e AS (SELECT doc_id, unnest(ws) AS word FROM d), f AS (SELECT unnest(ws) AS word FROM b),
+k AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, {BYTES_SQL}),
+  lambda a, x: xor(t[1 + (xor(a, x) & 255)], a >> 8))) % 10000 AS bucket FROM (SELECT word FROM e UNION SELECT word FROM f), tab),
+n AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (word) GROUP BY 1),
+m AS (SELECT bucket, count(*) AS t FROM f JOIN k USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM n)::DOUBLE + 10000)
+  / ((s::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM m), 0)::DOUBLE + 10000))))::BIGINT AS gain FROM n LEFT JOIN m USING (bucket)),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM e JOIN k USING (word) JOIN g USING (bucket) GROUP BY 1),
+s AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE + 0.5)
+    / 4294967296))))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM s WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM r""")
+def op13_importance_resampling(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
