@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tiersift.llm import (
-    decontaminate, id_coder, importance, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules,
+    decontaminate, id_coder, importance, language_id, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules,
     sharding, toxicity, whitening,
 )
 
@@ -112,6 +112,11 @@ def op4_context_mixing_ids(spark, sf_dir):
     return id_coder.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_kneser_ney_language")
+def op11_kneser_ney_language(spark, sf_dir):
+    return language_id.language_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op12_jacobi_whitening")
 def op12_jacobi_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
