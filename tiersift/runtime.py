@@ -34,7 +34,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     survives the loss of executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for these tables; nothing may read them any more."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            table.stored_at = None
 
 
 def spread(table: DataFrame) -> DataFrame:
