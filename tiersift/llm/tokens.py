@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,6 +21,12 @@ _MARKS, _LATIN_END = ".,;:!?", "\u0250"
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
+@lru_cache(maxsize=4096)
+def _stays_letter(c: str) -> bool:
+    """Whether normalising and lower-casing leave letters only, so that a mark behind is a token of its own."""
+    return unicodedata.normalize("NFC", c).lower().isalpha()
+
+
 def _irregular(text: str) -> bool:
     return (text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or "  " in text or "\n\n" in text or " \n" in text
             or "\n " in text or _ODD.search(text) is not None) if text else True
@@ -46,8 +54,11 @@ class PieceEncoder:
     def _parts(self, piece: str) -> tuple[str, str]:
         """The word without a closing mark and the mark, always separate tokens. Case and blanks go where they do not count."""
         piece = piece.lstrip(" \n") if self.lowers else piece
-        word, mark = (piece[:-1], piece[-1]) if piece[-1] in _MARKS and piece[-2:-1].isalpha() else (piece, "")
-        return (word.lower() if self.lowers and max(word) < _LATIN_END else word), mark
+        word, mark = piece, ""
+        if piece[-1] in _MARKS and piece[-2:-1].isalpha() and _stays_letter(piece[-2]):
+            word, mark = piece[:-1], piece[-1]
+        low = word.lower() if self.lowers and max(word) < _LATIN_END else word
+        return (low if len(low) == len(word) else word), mark
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces; of each different word only once."""
@@ -65,7 +76,8 @@ class PieceEncoder:
         simple, other = [], []
         for w in words:
             letters = w if self.lowers else w.removeprefix(" ")
-            (simple if letters.isalpha() and max(w) < _LATIN_END else other).append(w)
+            plain = letters.isalpha() and max(w) < _LATIN_END and not (self.lowers and letters != letters.lower())
+            (simple if plain else other).append(w)
         for part, tokenizer in ((simple, self.plain), (other, self.tokenizer)):
             found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
