@@ -7,34 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiersift.runtime import materialize
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """``node, root`` of every node of ``a, b``; the root is the smallest node reachable.
-
-    Alternating star contraction: distributed union-find in which every step is a grouped minimum and
-    a join. Each round is written to shared storage; it ends when a round changes no edge.
-    """
-    edges = materialize(edges.filter("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-                              F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))).first())
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("low").alias("a"), "b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(least, "b").select(
-            F.col("low").alias("a"), F.when(F.col("a") > F.col("low"), F.col("a")).otherwise(F.col("b")).alias("b"))
-        up = least.select(F.col("low").alias("a"), "b")
-        edges = materialize(small.unionByName(up).distinct(), "edges")
-    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("root")))
+from tiersift.operators.components import components
+from tiersift.runtime import materialize, release
 
 
 def _rooted(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -44,34 +18,45 @@ def _rooted(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], possible, hub_rounds: int = 2,
-                columns: tuple[str, ...] = (), known: DataFrame | None = None, central: Column | None = None) -> DataFrame:
-    """``node, root`` of all nodes joined by verified pairs that share a block.
+                columns: tuple[str, ...] = (), known: DataFrame | None = None, central: Column | None = None,
+                details: DataFrame | None = None, close=None) -> DataFrame:
+    """``node, root`` of all nodes joined by verified pairs that share a block, as a stored table.
 
-    ``blocks`` has ``block, node`` and ``columns``; ``verify`` takes distinct pairs ``a, b`` and
-    returns those that link; ``possible(left, right)`` is a cheap necessary condition on struct
+    ``blocks``, a stored table, has ``block, node`` and ``columns``; ``verify`` takes distinct pairs ``a, b`` and
+    returns those that link as a stored table; ``possible(left, right)`` is a cheap necessary condition on struct
     columns of two rows of one block; ``known`` are pairs ``a, b`` that link anyway (each b has one a). First every row of a block is compared with one hub of it
     (the least ``central``, another one of equals in every round), which takes as many comparisons as rows and joins whole groups of
     copies. Then only rows of one block that are still in different groups are compared, every one of them,
-    so no link between groups is lost.
+    so no link between groups is lost; ``close(left, right)`` is a second necessary condition for these, on the columns of
+    ``details``, one row a node, that tells most of them apart before a pair is written.
+    Tables written on the way are deleted as soon as nothing reads them.
     """
     payload = ("node", *columns)
-    tested, links, roots = None, [], None
+    tested, links, roots = [], [], None
     if known is not None:
         links.append(known.select("a", "b"))
         roots = known.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        nonlocal tested
+        nonlocal roots
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = materialize(pairs, name)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links.append(materialize(verify(pairs).select("a", "b"), f"{name}-links"))
+        tested.append(pairs)
+        links.append(verify(pairs))
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
-        return materialize(connected(every), f"{name}-roots")
+        before, roots = roots, components(every)
+        release(before)
+        return roots
+
+    def still_mixed(rows: DataFrame) -> DataFrame:
+        """Rows, with ``root``, of the blocks that hold several groups."""
+        now = _rooted(rows, roots)
+        mixed = now.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        return now.join(mixed.select("block"), "block", "left_semi")
 
     rows = blocks
     for turn in range(hub_rounds):
@@ -82,12 +67,22 @@ def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
             F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         met = seen.join(hubs.select("block", "hub"), "block").filter(F.col("root") != F.col("hub.root"))
         met = met.filter(possible(F.struct(*payload), F.col("hub")))
-        roots = check(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")), f"hub{turn}")
-    seen = _rooted(rows, roots)
-    mixed = seen.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    left = materialize(seen.join(mixed.select("block"), "block", "left_semi"), "mixed")
-    one = left.select("block", F.struct(*payload, "root").alias("l"))
-    two = left.select("block", F.struct(*payload, "root").alias("r"))
+        check(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")), f"hub{turn}")
+        left = materialize(still_mixed(rows).drop("root"), "mixed")  # a block once of one group stays so
+        release(None if turn == 0 else rows)
+        rows = left
+    left = _rooted(rows, roots)
+    extra = ()
+    if details is not None:
+        left = left.join(details, "node")
+        extra = tuple(c for c in details.columns if c != "node")
+    left = materialize(left, "left")
+    one = left.select("block", F.struct(*payload, "root", *extra).alias("l"))
+    two = left.select("block", F.struct(*payload, "root", *extra).alias("r"))
     met = one.join(two, "block").filter("l.node < r.node AND l.root <> r.root").filter(
         possible(F.col("l"), F.col("r")))
-    return check(met.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")), "rest")
+    if close is not None:
+        met = met.filter(close(F.col("l"), F.col("r")))
+    check(met.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")), "rest")
+    release(left, None if rows is blocks else rows, *tested, *links)
+    return roots

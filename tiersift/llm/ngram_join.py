@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from tiersift.llm.linking import link_blocks
 from tiersift.llm.words import LOWER, Words, lists, sequence_hash, shingle_hashes, text_chunks
-from tiersift.runtime import join_per_key, materialize
+from tiersift.runtime import join_per_key, materialize, release
 
 FRAGMENTS = 8
 FREQUENT_LIMIT = 200_000  # n-grams whose frequency is told to every task; others are ordered by hash
+CELL_BITS = 9
+CELLS = 1 << CELL_BITS
 _BROADCAST_IDS = 1_000_000  # ids of candidates sent to all tasks (16 MB); beyond it they are joined by shuffle
 
 
@@ -55,6 +57,25 @@ def _prefix(grams: np.ndarray, frequent: np.ndarray, t: int) -> np.ndarray:
     return np.concatenate([rare, grams[late][:size - len(rare)]]) if len(rare) < size else rare
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """For each of ``CELLS`` cells of the hash range, whether an odd number of the n-grams falls into it, as bits of longs.
+
+    Every n-gram that only one of two sets has turns one bit, so the sets differ in at least as many n-grams as their bits.
+    """
+    odd = np.bincount((grams >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _close(t: int):
+    """Necessary for a similarity of ``t`` percent: no more differing bits than n-grams may differ."""
+
+    def condition(x, y):
+        bits = sum((F.bit_count(F.get(x["odd"], F.lit(i)).bitwiseXOR(F.get(y["odd"], F.lit(i)))) for i in range(CELLS // 64)), F.lit(0))
+        return bits.cast("long") * (100 + t) <= (x["n"] + y["n"]).cast("long") * (100 - t)
+
+    return condition
+
+
 def _frequent(documents: DataFrame, width: int, limit: int) -> np.ndarray:
     """Up to ``limit`` n-grams that many different texts have; which ones only decides speed, never results.
 
@@ -94,8 +115,8 @@ def _promising(pairs: DataFrame, sets: DataFrame, facts: DataFrame, t: int) -> D
 
     Of two sets, the one whose lead ends first in the global order has all common n-grams up to there in both
     leads, and can share at most what it has after its lead. ``facts`` bounds the common part of two leads by the n-grams of
-    each that any other lead has; the leads themselves settle what is left. They travel as 32-bit hashes: a
-    collision can only let a pair pass.
+    each that any other lead has; the leads themselves settle what is left. They travel as 32-bit hashes; common n-grams of
+    one hash count once there, so the hashes that a lead has less than n-grams are added to what is common.
     """
     for side in ("a", "b"):
         pairs = pairs.join(facts.withColumnsRenamed(
@@ -106,10 +127,15 @@ def _promising(pairs: DataFrame, sets: DataFrame, facts: DataFrame, t: int) -> D
         return most * (100 + t) >= (F.col("na") + F.col("nb")) * t
 
     pairs = materialize(pairs.filter(enough(F.least("shared_a", "shared_b"))).drop("shared_a", "shared_b"), "able")
-    leads = sets.filter("size(lead) > 0").select("doc_id", F.transform("lead", lambda x: F.hash(x)).alias("lead"))
-    two = pairs.join(leads.withColumnsRenamed({"doc_id": "b", "lead": "lead_b"}), "b").join(
-        leads.withColumnsRenamed({"doc_id": "a", "lead": "lead_a"}), "a")
-    return two.filter(enough(F.size(F.array_intersect("lead_a", "lead_b")))).select("a", "b", "na", "nb").distinct()
+    leads = sets.filter("size(lead) > 0").select("doc_id", F.array_distinct(F.transform("lead", lambda x: F.hash(x))).alias("lead"),
+                                                 F.size("lead").alias("long"))
+    leads = leads.withColumn("same", F.col("long") - F.size("lead")).drop("long")
+    two = pairs.join(leads.withColumnsRenamed({"doc_id": "b", "lead": "lead_b", "same": "same_b"}), "b").join(
+        leads.withColumnsRenamed({"doc_id": "a", "lead": "lead_a", "same": "same_a"}), "a")
+    common = F.size(F.array_intersect("lead_a", "lead_b")) + F.least("same_a", "same_b")
+    done = materialize(two.filter(enough(common)).select("a", "b", "na", "nb").distinct(), "promising")
+    release(pairs)
+    return done
 
 
 def _overlaps(documents: DataFrame, pairs: DataFrame, sets: DataFrame, facts: DataFrame, frequent: np.ndarray,
@@ -119,7 +145,7 @@ def _overlaps(documents: DataFrame, pairs: DataFrame, sets: DataFrame, facts: Da
     Marks, the distinct 16-bit hashes of a set, come first: common marks plus the n-grams that share a mark with another of
     their set are never fewer than the common n-grams, and a mark is a quarter of the bytes.
     """
-    pairs = materialize(_promising(pairs, sets, facts, t), "promising")
+    pairs = _promising(pairs, sets, facts, t)
     ids = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
     small = ids.count() <= _BROADCAST_IDS
     wanted = documents.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("node"), "left_semi")
@@ -156,7 +182,9 @@ def _overlaps(documents: DataFrame, pairs: DataFrame, sets: DataFrame, facts: Da
         F.array_intersect("grams", "more")).cast("long").alias("common"))
     partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))  # an id may be repeated
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return total.filter(F.col("common") * 100 >= t * (F.col("na") + F.col("nb") - F.col("common")))
+    done = materialize(total.filter(F.col("common") * 100 >= t * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "common")
+    release(pairs, ids, cuts)
+    return done
 
 
 def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
@@ -168,22 +196,24 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     frequent = _frequent(documents, width, frequent_limit)
 
     def prefixes(batches):
+        none = np.zeros(0, dtype=np.int64)
         seen = set()  # of a partition: copies after the first take no part in the search
         for batch in batches:
-            n, one, two, leads = [], [], [], []
+            n, one, two, leads, odd = [], [], [], [], []
             for _, own, grams in _sets(batch, width):
                 key = sequence_hash(own)
                 n.append(len(grams))
                 one.append(key[0])
                 two.append(key[1])
                 leads.append(grams[:0].view(np.int64) if key in seen else _prefix(grams, frequent, t).view(np.int64))
+                odd.append(none if key in seen else parities(grams))
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 lists(leads, pa.int64())], ["doc_id", "n", "k1", "k2", "lead"])
+                 lists(leads, pa.int64()), lists(odd, pa.int64())], ["doc_id", "n", "k1", "k2", "lead", "odd"])
 
     sets = materialize(documents.mapInArrow(
-        prefixes, "doc_id long, n long, k1 long, k2 long, lead array<long>"), "sets")
+        prefixes, "doc_id long, n long, k1 long, k2 long, lead array<long>, odd array<long>"), "sets")
     classes = materialize(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     firsts = sets.filter("size(lead) > 0 AND doc_id IS NOT NULL")
@@ -200,13 +230,20 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"]).cast("long")
         return rest * (100 + t) >= (x["n"] + y["n"]).cast("long") * t
 
+    copies = materialize(copies, "copies")
+    # an id may be repeated with different texts: any of its rows may be the one that links, none is told apart by one sketch
+    odd = firsts.groupBy(F.col("doc_id").alias("node")).agg(F.first("odd").alias("odd"), F.count("*").alias("rows"))
+    odd = odd.select("node", F.when(F.col("rows") == 1, F.col("odd")).alias("odd"))
     roots = link_blocks(blocks, lambda pairs: _overlaps(
         documents, pairs, sets, facts, frequent, width, t, fragments), possible, columns=("pos", "n"),
-        known=materialize(copies, "copies"), central=F.col("pos"))  # few rarer n-grams: the unedited text of a block
+        known=copies, central=F.col("pos"),  # few rarer n-grams: the unedited text of a block
+        details=odd, close=lambda x, y: F.coalesce(_close(t)(x, y), F.lit(True)))
+    release(blocks, facts, copies)
     # two classes of copies may start at one id only if that id is repeated; then its least root counts
     named = classes.join(roots.groupBy("node").agg(F.min("root").alias("root")), "node", "left").select(
         F.xxhash64("k1", "k2").alias("content"), "k1", "k2", F.coalesce("root", "node").alias("component_id"), F.col("copies").alias("n"))
     named = materialize(named, "components")
+    release(roots, classes)
     full = sets.filter("n > 0 AND doc_id IS NOT NULL").select(
         "doc_id", F.col("n").alias("n_shingles"), F.xxhash64("k1", "k2").alias("content"), "k1", "k2")
     placed = join_per_key(full, named.withColumnsRenamed({"k1": "j1", "k2": "j2"}), "content", "doc_id").filter(
