@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tiersift.llm import (
-    decontaminate, id_coder, line_dedup, linking, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding,
+    decontaminate, id_coder, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding,
     toxicity, words,
 )
+from tiersift.operators.components import components as connected
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -86,7 +87,7 @@ def test_connected_matches_union_find(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
     want = components({n for e in edges if e[0] != e[1] for n in e}, edges)
-    got = {r["node"]: r["root"] for r in linking.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
 
 
@@ -108,6 +109,29 @@ def line_shingles(line):
     return {line[i:i + 5] for i in range(len(line) - 4)} if len(line) >= 5 else {line}
 
 
+def test_lines_of_a_repeated_id_stay_apart(spark):
+    rows = [(1, "some line that is a copy of another\nand a second one of its own"), (1, "a wholly different unique first line\nfollowed by more"),
+            (0, "some line that is a copy of another"), (1, "a wholly different unique first line\nfollowed by more")]
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(table(spark, rows)).collect())
+    assert got == Counter([(0, rows[2][1]), (1, "and a second one of its own"), (1, rows[1][1]), (1, rows[1][1])])
+
+
+def test_lines_keep_clashing_columns(spark):
+    rows = table(spark, [(1, "one line here\none line here")]).select("*", *[F.lit("u").alias(c) for c in ("_lines", "_cuts", "_gone", "_doc", "own")])
+    row = line_dedup.dedup_lines(rows).first()
+    assert row["text"] == "one line here" and [row[c] for c in ("_lines", "_cuts", "_gone", "_doc", "own")] == ["u"] * 5
+
+
+def test_sketches_never_exclude_similar_sets():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 60, 400, 5000):
+        for share in (0.02, 0.1, 0.3):
+            a = draw.integers(0, 1 << 64, n, dtype=np.uint64)
+            b = np.concatenate([a[:n - int(n * share)], draw.integers(0, 1 << 64, int(n * share), dtype=np.uint64)])
+            bits = sum(int(x).bit_count() for x in (ngram_join.parities(a).view(np.uint64) ^ ngram_join.parities(b).view(np.uint64)))
+            assert bits <= len(np.setxor1d(a, b))
+
+
 def test_lines_match_all_pairs(spark):
     draw = random.Random(2)
     base = ["".join(draw.choice("abcdefgh ") for _ in range(70)).strip() for _ in range(12)]

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tiersift.llm import decontaminate, ngram_join, quality_model
+from tiersift.llm import decontaminate, line_dedup, ngram_join, quality_model
 from tiersift.runtime import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -25,10 +25,13 @@ def test_stages_apply_their_operators(spark):
     scored = quality_model.quality_scores(before, spark.read.parquet(f"{SF}/labels.parquet"))
     assert ids(after) == ids(scored.filter("predicted = 1"))
     before, after = kept["lines"]
-    assert ids(before) == ids(after)
+    words = after.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(line_dedup.WORD))
+    assert ids(after) <= ids(before) and ids(words) <= ids(before.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(line_dedup.WORD)))
+    emptied = ids(line_dedup.dedup_lines(before).filter("_n_kept < _n_lines").filter(~F.col("text").rlike(line_dedup.WORD)))
+    assert ids(after) == ids(before) - emptied and emptied
     assert after.filter(F.col("n_chars") != F.char_length("text")).isEmpty()
     before, after = kept["near_copies"]
-    assert ids(after) == ids(ngram_join.ngram_components(before).filter("doc_id = component_id"))
+    assert ids(after) == ids(ngram_join.ngram_components(before, width=5, threshold_percent=80).filter("doc_id = component_id"))
     before, after = kept["leaks"]
     assert ids(after) == ids(before) - ids(decontaminate.leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet")))
     before, after = kept["packing"]
