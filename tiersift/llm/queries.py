@@ -71,6 +71,9 @@ def op7_ftrl_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+SHARD_LIMIT = 64 << 10
+
+
 @query("op9_extendible_hash_shards", f"""WITH
 h AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
   substr((('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT)::BIT::VARCHAR, 5) AS bits FROM documents),
@@ -78,9 +81,10 @@ d AS (SELECT doc_id, bytes, bits, unnest(range(0, 61))::INTEGER AS depth FROM h)
 s AS (SELECT doc_id, bytes, depth, left(bits, depth) AS shard,
   sum(bytes) OVER w AS total, min(bits) OVER w = max(bits) OVER w AS alone FROM d WINDOW w AS (PARTITION BY depth, left(bits, depth)))
 SELECT doc_id, arg_min(shard, depth) AS shard, min(depth) AS depth, any_value(bytes) AS bytes,
-  arg_min(total, depth) > {sharding.LIMIT} AS oversized FROM s WHERE total <= {sharding.LIMIT} OR alone GROUP BY doc_id""")
+  arg_min(total, depth) > {SHARD_LIMIT} AS oversized FROM s WHERE total <= {SHARD_LIMIT} OR alone GROUP BY doc_id""")
 def op9_extendible_hash_shards(spark, sf_dir):
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    """Shards of at most 64 KB of text, so that small tables split as well."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
 @query("op5_fuzzy_line_dedup")
