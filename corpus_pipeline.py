@@ -2,6 +2,9 @@
 
 Every stage takes what the one before kept, as written to shared storage, and all but the last return the columns
 of ``documents``. A stage drops rows by their ids: rows repeated with one id share its fate, rows without an id are never dropped.
+
+The order is given: lines go before near copies are sought, so an exact copy loses all its lines there and is dropped by that
+stage, and near copies are compared by what their own lines leave. A text that had no line with a word before stays.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that resemble an earlier line; ``n_chars`` follows the text."""
+    """Texts without lines that resemble an earlier line; ``n_chars`` follows the text. Texts that lose all words go."""
     kept = line_dedup.dedup_lines(docs)
+    lost = (F.col("_n_kept") < F.col("_n_lines")) & ~F.col("text").rlike(line_dedup.WORD)
+    kept = kept.filter(~F.coalesce(lost, F.lit(False)))
     return kept.select(*[F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias(c) if c == "n_chars" else c
                          for c in docs.columns])
 
