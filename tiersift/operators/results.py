@@ -56,28 +56,29 @@ def by_label(store: DataFrame, label: str) -> DataFrame:
     return newest_first(store.filter(F.col("label") == label))
 
 
-def _cutoff(as_of, **interval: int) -> Column:
+def cutoff(as_of, **interval: int) -> Column:
+    """The moment that lies an interval before ``as_of``."""
     moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
     return moment - F.make_interval(**{k: F.lit(v) for k, v in interval.items()})
 
 
 def recent(store: DataFrame, as_of, hours: int = 24) -> DataFrame:
-    return newest_first(store.filter(F.col("created_at") >= _cutoff(as_of, hours=hours)))
+    return newest_first(store.filter(F.col("created_at") >= cutoff(as_of, hours=hours)))
 
 
 def unexpired(store: DataFrame, as_of, days: int = 30) -> DataFrame:
-    return store.filter(F.col("created_at") >= _cutoff(as_of, days=days))
+    return store.filter(F.col("created_at") >= cutoff(as_of, days=days))
 
 
 def expired(store: DataFrame, as_of, days: int = 30) -> DataFrame:
-    return store.filter(F.col("created_at") < _cutoff(as_of, days=days))
+    return store.filter(F.col("created_at") < cutoff(as_of, days=days))
 
 
 def stats(store: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """``section, key, n``: total, per source, per label and recent counts in one pass."""
     grouped = store.groupingSets([["source"], ["label"], []], "source", "label").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("created_at") >= _cutoff(as_of, hours=hours)).alias("fresh"),
+        F.count_if(F.col("created_at") >= cutoff(as_of, hours=hours)).alias("fresh"),
         F.grouping_id().alias("level"))
 
     def entry(section, key, n):

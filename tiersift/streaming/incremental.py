@@ -1,48 +1,105 @@
-"""Process only messages without a stored rule result, as a batch or as a stream."""
+"""Process only messages without a stored rule result, as a batch or as a stream.
+
+One rule for both: a stored result stays, and of copies that arrive together the one with the largest ``email_id`` decides.
+"""
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tiersift.operators import results, rules
 from tiersift.sources.store import ResultStore
 
+_WRITE = ["fingerprint", "email_id", "label", "confidence", "source", "context"]
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def _as_writes(classified: DataFrame) -> DataFrame:
-    return classified.select("fingerprint", "label", "confidence", "source",
-                             F.to_json("context").alias("context"))
+    return classified.select("fingerprint", F.col("email_id").cast("string").alias("email_id"), "label",
+                             F.col("confidence").cast("double").alias("confidence"), "source", F.to_json("context").alias("context"))
 
 
 def triage_batch(emails: DataFrame, store: ResultStore, at: datetime | None = None,
                  batch: int | None = None, ruleset: rules.RuleSet | None = None) -> int:
-    """Classify and store the messages the store does not know; returns how many rows were kept.
-
-    Copies within the batch are settled by the largest ``email_id``.
-    """
-    known = store.current(before=batch)
+    """Classify and store the messages the store does not know; returns how many rows were kept."""
+    known = store.lookup(emails, without=batch)
     fresh = rules.classify(results.misses(emails, known), ruleset)
-    return store.upsert(_as_writes(results.latest(fresh, "email_id")), at, batch)
+    chosen = results.latest(fresh, "email_id").withColumn("context", F.to_json("context"))
+    return store.upsert(chosen.select("fingerprint", "label", "confidence", "source", "context"), at, batch)
+
+
+class FirstResult(StatefulProcessor):
+    """Holds the winning write of every fingerprint for a while and passes only that one on."""
+
+    def __init__(self, remember: timedelta, numbers: bool):
+        self.remember = int(remember.total_seconds() * 1000)
+        self.numbers = numbers  # ids are compared as numbers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.winner = handle.getValueState("winner", "email_id string, label string, confidence double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.winner.exists():
+            for _ in rows:
+                pass
+            return
+        best = None
+        for frame in rows:
+            ids = pd.to_numeric(frame["email_id"]) if self.numbers else frame["email_id"]
+            top = frame.iloc[int(ids.argmax())]
+            if best is None or self._rank(top) > self._rank(best):
+                best = top
+        self.winner.update((best["email_id"], best["label"], float(best["confidence"])))
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.remember)
+        yield best.to_frame().T[_WRITE].astype({"confidence": "float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.winner.clear()
+        return iter(())
+
+    def _rank(self, row):
+        return float(row["email_id"]) if self.numbers else row["email_id"]
+
+    def close(self) -> None:
+        pass
 
 
-def triage_stream(messages: DataFrame, store: ResultStore, checkpoint: str, remember: str = "1 day",
-                  ruleset: rules.RuleSet | None = None, trigger: dict | None = None,
-                  first_batch: int = 0):
+def triage_stream(messages: DataFrame, store: ResultStore, checkpoint: str, remember: timedelta = timedelta(days=1),
+                  ruleset: rules.RuleSet | None = None, trigger: dict | None = None):
     """Start a stream that stores a rule result per new fingerprint.
 
-    Copies that follow within ``remember`` are dropped in the stream, later ones by the store
-    lookup. The watermark runs on arrival time, so no message is ever too late to be seen. Each
-    micro-batch writes under its own number, so a repeated one replaces itself. Use another
-    ``first_batch`` when the store already holds numbered batches.
+    Messages are classified where they arrive; only their results are shuffled by fingerprint. Keyed state holds the winner of every
+    fingerprint for ``remember`` and drops what follows; later copies meet the stored result. Every micro-batch looks its
+    keys up in the store, reading few parts of it, and writes under its own number of the stream's range, so a repeated
+    one replaces itself, or does nothing if a snapshot has taken it in meanwhile.
     """
-    arriving = messages.withColumn("_arrived_at", F.current_timestamp())
-    unseen = (arriving.withWatermark("_arrived_at", remember)
-              .dropDuplicatesWithinWatermark(["fingerprint"]).drop("_arrived_at"))
+    spark = messages.sparkSession
+    numbers = messages.schema["email_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    schema = "fingerprint string, email_id string, label string, confidence double, source string, context string"
+    # the watermark runs on arrival time, so no message is too late to be seen and state ends even when none of its key comes
+    arriving = _as_writes(rules.classify(messages, ruleset)).filter("fingerprint IS NOT NULL").withColumn(
+        "arrived_at", F.current_timestamp()).withWatermark("arrived_at", "0 seconds")
+    winners = arriving.groupBy("fingerprint").transformWithStateInPandas(
+        FirstResult(remember, numbers), schema, "Append", "EventTime")
+    first = store.stream_range(checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        triage_batch(batch, store, batch=first_batch + number, ruleset=ruleset)
+        if store.holds(first + number):
+            return
+        new = results.misses(batch, store.lookup(batch, without=first + number))
+        store.upsert(new.drop("email_id"), batch=first + number)
 
-    return (unseen.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"availableNow": True})).start())
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return (winners.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
