@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tiersift import schemas
 from tiersift.operators import results
 from tiersift.runtime import shared_path
+from tiersift.sources.jsonl import read_jsonl
 from tiersift.sources.store import ResultStore
 from workload.fixtures import table
 from workload.registry import query
@@ -73,10 +75,36 @@ def store_stats(spark, sf_dir):
     return results.stats(store(spark, sf_dir), as_of(spark, sf_dir))
 
 
-@query("store_expire", f"""WITH {_STORE} SELECT {_SHOWN} FROM c
-WHERE moment >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY""")
+# Two events write each key, batch by batch; a batch lies some days before the last event.
+_AGES = (9, 6, 5, 1)
+
+
+@query("store_expire", f"""WITH w AS (SELECT CAST(event_id // 2 AS VARCHAR) AS fingerprint, event_type AS label,
+  (event_id // 3) % 4 AS batch, event_id FROM events),
+k AS (SELECT fingerprint, max_by(label, batch * 1e12 + event_id) AS label, max(batch) AS batch FROM w GROUP BY fingerprint)
+SELECT fingerprint, label, (SELECT count(*) FROM k WHERE batch < 2) AS removed FROM k WHERE batch >= 2""")
 def store_expire(spark, sf_dir):
-    return shown(results.unexpired(store(spark, sf_dir), as_of(spark, sf_dir), days=5))
+    """Four writes of different age, compacted; what is older than five days goes."""
+    writes = table(spark, sf_dir, "events").selectExpr(
+        "CAST(event_id DIV 2 AS STRING) AS fingerprint", "event_type AS label", "0.9 AS confidence", "'rules' AS source",
+        "CAST(NULL AS STRING) AS context", "event_id AS write_order", "(event_id DIV 3) % 4 AS batch")
+    kept, now = ResultStore(spark, shared_path(spark, "expire")), as_of(spark, sf_dir)
+    for number, age in enumerate(_AGES):
+        kept.upsert(writes.filter(F.col("batch") == number), now - dt.timedelta(days=age), number)
+    removed = kept.expire(now, days=5)
+    return kept.current().select("fingerprint", "label", F.lit(removed).cast("long").alias("removed"))
+
+
+@query("store_export_file", f"""WITH {_STORE}
+SELECT {_SHOWN.replace(", created_at", "")}, count(*) OVER () AS written FROM c""")
+def store_export_file(spark, sf_dir):
+    """Writes the store as JSON lines, newest first, and reads the file back; rows are counted on the way."""
+    kept, path = ResultStore(spark, shared_path(spark, "exported")), shared_path(spark, "export")
+    kept.upsert(store(spark, sf_dir))
+    written = kept.export(path)
+    return read_jsonl(spark, path, schemas.CLASSIFICATION).select(
+        "fingerprint", "label", F.round("confidence", 6).alias("confidence"), "source", "context",
+        F.lit(written).cast("long").alias("written"))
 
 
 @query("store_export", f"WITH {_STORE} SELECT {_SHOWN} FROM c ORDER BY moment DESC")

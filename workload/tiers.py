@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tiersift.operators import merge, reports, results, rules
 from tiersift.runtime import materialize
+from tiersift.runtime import shared_path
+from tiersift.sources.store import ResultStore
 from workload.fixtures import emails
 from workload.registry import query
 from workload.sqlbase import RULES, over_rules
@@ -122,8 +124,12 @@ def store_hits(spark, sf_dir):
 SELECT email_id, fingerprint, subject FROM r
 WHERE fingerprint NOT IN (SELECT fingerprint FROM st WHERE source = 'rules')""")
 def store_misses(spark, sf_dir):
+    """Against a compacted store, whose parts are chosen by the keys of the messages."""
     messages = emails(spark, sf_dir)
-    return results.misses(messages, stored(messages)).select("email_id", "fingerprint", "subject")
+    store = ResultStore(spark, shared_path(spark, "known"))
+    store.upsert(stored(messages))
+    store.compact()
+    return results.misses(messages, store.lookup(messages)).select("email_id", "fingerprint", "subject")
 
 
 @query("store_merge", f"""WITH {STORE_SQL}
