@@ -5,10 +5,8 @@ Shapes: vectors ``(email_id, embedding)`` with an array or an ML vector, assignm
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -71,10 +69,103 @@ def embed(emails: DataFrame, fn, text_column: Column, dimensions_type: str = "ar
     return rows.mapInPandas(run, f"email_id {key}, embedding {dimensions_type}")
 
 
+#: Vectors that starting centres are drawn from, by hash order.
+SEED_SAMPLE = 5000
+_FEW = 8  # tasks whose sums the driver adds up
+
+
+def _rows_of(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """Dense rows of a batch of unwrapped vectors."""
+    column = batch.column(batch.schema.get_field_index("features"))
+    values, n = column.field("values"), len(column)
+    length = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)  # of an entry in its vector
+    sparse = (column.field("type").to_numpy(zero_copy_only=False) == 0)[row]
+    place[sparse] = column.field("indices").flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((n, size))
+    out[row, place] = values.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _starts(sample: np.ndarray, k: int, n_init: int, seed: int) -> np.ndarray:
+    """``n_init`` sets of ``k`` centres, each next one drawn in proportion to the squared distance to those before."""
+    out = np.empty((n_init, k, sample.shape[1]))
+    length = (sample * sample).sum(1)
+    for start in range(n_init):
+        draw = np.random.default_rng(seed + start)
+        far = np.full(len(sample), np.inf)
+        at = int(draw.integers(len(sample)))
+        for j in range(k):
+            out[start, j] = sample[at]
+            far = np.minimum(far, np.maximum(length - 2 * sample @ sample[at] + length[at], 0))
+            total = far.sum()
+            at = int(draw.choice(len(sample), p=far / total)) if total > 0 else int(draw.integers(len(sample)))
+    return out
+
+
+def _pass(rows: DataFrame, centers: np.ndarray, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, counts and costs of the nearest rows of every centre, for all running starts in one pass.
+
+    Tasks send the sums of the centres they touched; those are added up by centre before the driver gets one row each.
+    """
+    k, size = centers.shape[1:]
+    flat = centers[running].reshape(-1, size)
+    length = (flat * flat).sum(1)
+
+    def partial(batches):
+        sums, counts, cost = np.zeros(flat.shape), np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat))
+        for batch in batches:
+            x = _rows_of(batch, size)
+            far = (length - 2 * x @ flat.T).reshape(len(x), -1, k)
+            best = far.argmin(2)
+            near = np.take_along_axis(far, best[:, :, None], 2)[:, :, 0] + (x * x).sum(1)[:, None]
+            for start in range(best.shape[1]):
+                own = best[:, start] + start * k
+                member = np.zeros((len(x), k))
+                member[np.arange(len(x)), best[:, start]] = 1.0
+                sums[start * k:(start + 1) * k] += member.T @ x
+                counts += np.bincount(own, minlength=len(flat))
+                cost += np.bincount(own, weights=near[:, start], minlength=len(flat))
+        yield from _packed_sums(sums, counts, cost)
+
+    def added(batches):
+        sums, counts, cost = np.zeros(flat.shape), np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat))
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            np.add.at(counts, at, batch.column(1).to_numpy())
+            np.add.at(cost, at, batch.column(2).to_numpy())
+            for place, raw in zip(at, batch.column(3).to_pylist(), strict=True):
+                sums[place] += np.frombuffer(raw)
+        yield from _packed_sums(sums, counts, cost)
+
+    schema = "at long, n long, cost double, sums binary"
+    parts = rows.mapInArrow(partial, schema)
+    if rows.rdd.getNumPartitions() > _FEW:
+        parts = parts.repartition(_FEW, "at").mapInArrow(added, schema)
+    total = next(added(parts.toArrow().to_batches()))  # a row a centre, of _FEW tasks at most
+    sums, counts, cost = np.zeros(flat.shape), np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat))
+    at = total.column(0).to_numpy()
+    counts[at], cost[at] = total.column(1).to_numpy(), total.column(2).to_numpy()
+    for place, raw in zip(at, total.column(3).to_pylist(), strict=True):
+        sums[place] = np.frombuffer(raw)
+    shape = (int(running.sum()), k)
+    return sums.reshape(*shape, size), counts.reshape(shape), cost.reshape(shape).sum(1)
+
+
+def _packed_sums(sums: np.ndarray, counts: np.ndarray, cost: np.ndarray):
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at]), pa.array(cost[at]),
+                                      pa.array([sums[i].tobytes() for i in at], pa.binary())], ["at", "n", "cost", "sums"])
+
+
 def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int = 10,
-           max_iter: int = 300, text_clusters: bool = False,
-           parallel_runs: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Assignments and centres ``(cluster_id, center)`` of the cheapest of ``n_init`` runs."""
+           max_iter: int = 300, text_clusters: bool = False, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """Assignments and centres ``(cluster_id, center)`` of the cheapest of ``n_init`` runs.
+
+    All runs move their centres in one pass over the rows each round; a run whose centres move by less than ``tol`` of the
+    variance is done and takes no part in later passes. A centre without rows stays where it is.
+    """
     spark = vectors.sparkSession
     if k is None:
         k = cluster_counts(vectors).first()["k_text" if text_clusters else "k_embedding"]
@@ -82,19 +173,42 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
         single = vectors.select("email_id", F.lit(0).alias("cluster_id"))
         return single, centroids(vectors, single)
     # every iteration is a pass over these rows: even partitions of a useful size, cached
-    rows = packed(materialize(vectors.select("email_id", _as_vector(vectors).alias("features"))
-                              .hint("rebalance"), "features")).persist()
-
-    def run(i):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster_id").fit(rows)
-
-    with ThreadPool(min(n_init, parallel_runs)) as pool:  # the runs' jobs share the cached rows
-        runs = pool.map(inheritable_thread_target(spark)(run), range(n_init))
-    best = min(runs, key=lambda m: m.summary.trainingCost)
-    assigned = materialize(best.transform(rows).select("email_id", "cluster_id"), "kmeans")
+    rows = packed(materialize(vectors.select("email_id", F.unwrap_udt(_as_vector(vectors)).alias("features"))
+                              .hint("rebalance"), "features"), 8 << 20).persist()
+    n = rows.count()
+    first = rows.select("features").first()["features"]
+    size = first["size"] if first["type"] == 0 else len(first["values"])
+    share = min(1.0, 2 * SEED_SAMPLE / n)
+    chosen = rows.filter(F.pmod(F.xxhash64("email_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * share)).limit(SEED_SAMPLE)
+    sample = np.concatenate([_rows_of(b, size) for b in chosen.select("features").toArrow().to_batches()])
+    centers = _starts(sample, k, n_init, seed)
+    limit = tol * float(sample.var(0).mean())
+    running, costs = np.ones(n_init, dtype=bool), np.full(n_init, np.inf)
+    for _ in range(max_iter):
+        sums, counts, cost = _pass(rows.select("features"), centers, running)
+        costs[running] = cost
+        old = centers[running]
+        new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], old)
+        centers[running] = new
+        running[running] = ((new - old) ** 2).sum((1, 2)) > limit
+        if not running.any():
+            break
+    every = np.ones(n_init, dtype=bool)
+    costs = _pass(rows.select("features"), centers, every)[2]
+    best = centers[int(costs.argmin())]
+    length = (best * best).sum(1)
+
+    def nearest(batches):
+        for batch in batches:
+            x = _rows_of(batch, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((length - 2 * x @ best.T).argmin(1), pa.int32())],
+                                             ["email_id", "cluster_id"])
+
+    kind = rows.schema["email_id"].dataType.simpleString()
+    assigned = materialize(rows.mapInArrow(nearest, f"email_id {kind}, cluster_id int"), "kmeans")
     rows.unpersist()
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
-    return assigned, spark.createDataFrame(centers, "cluster_id int, center array<double>")
+    placed = [(i, c.tolist()) for i, c in enumerate(best)]
+    return assigned, spark.createDataFrame(placed, "cluster_id int, center array<double>")
 
 
 def members(assignments: DataFrame) -> DataFrame:

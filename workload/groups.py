@@ -1,5 +1,6 @@
 """Cluster, representative and batch-scoring queries; embedding labels serve as cluster ids."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tiersift.operators import clusters, rules, scoring
@@ -9,7 +10,7 @@ from workload.fixtures import emails, table
 from workload.learning import vocabulary_sql
 from workload.labeller import wording_labeller
 from workload.registry import query
-from workload.sqlbase import EMAILS
+from workload.sqlbase import EMAILS, RULES
 
 
 def vectors(spark, sf_dir):
@@ -118,23 +119,41 @@ def top_clusters(spark, sf_dir):
     return clusters.largest(emails(spark, sf_dir), assignments(spark, sf_dir), reps(spark, sf_dir))
 
 
-@query("kmeans_assign")
+def against_all_centres(rows, assigned, centers):
+    """``email_id, nearest``: whether no other centre is nearer than a row's own."""
+    placed = [(r["cluster_id"], r["center"]) for r in centers.collect()]  # one row a cluster
+    ids, points = np.array([p[0] for p in placed]), np.array([p[1] for p in placed])
+
+    def run(frames):
+        for pdf in frames:
+            far = ((np.stack(pdf["embedding"].to_list())[:, None, :] - points[None]) ** 2).sum(2) if len(pdf) else np.zeros((0, len(ids)))
+            own = far[np.arange(len(pdf)), [int(np.flatnonzero(ids == c)[0]) for c in pdf["cluster_id"]]]
+            yield pdf[["email_id"]].assign(nearest=own <= far.min(axis=1) + 1e-9)
+
+    joined = clusters.as_arrays(rows).join(assigned, "email_id").repartition(16, "email_id").select("email_id", "cluster_id", "embedding")
+    return joined.mapInPandas(run, "email_id long, nearest boolean")
+
+
+@query("kmeans_assign", "SELECT vec_id AS email_id, true AS nearest FROM embeddings")
 def kmeans_assign(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    assigned, centers = clusters.kmeans(rows)
-    return assigned.join(rows, "email_id").join(F.broadcast(centers), "cluster_id").select(
-        "email_id", "cluster_id", F.round(clusters.distance("embedding", "center"), 6).alias("distance"))
+    return against_all_centres(rows, *clusters.kmeans(rows))
 
 
-@query("kmeans_text")
+@query("kmeans_text", f"""WITH {RULES}
+SELECT email_id, true AS nearest, true AS represented FROM r WHERE label = 'UNKNOWN'""")
 def kmeans_text(spark, sf_dir):
-    """Text clusters of the open messages with their representatives."""
+    """Text clusters of the open messages: every one at its nearest centre, in a cluster led by a member of it."""
     messages = materialize(emails(spark, sf_dir), "emails")
     rows = clusters.text_embedding(rules.undecided(messages, rules.classify(messages)))
     rows = materialize(rows, "vectors")
     assigned, centers = clusters.kmeans(rows, text_clusters=True)
-    return clusters.summary(messages, assigned, clusters.representatives(rows, assigned, centers)).withColumn(
-        "member_preview", F.array_join(F.transform("member_preview", lambda i: i.cast("string")), "|"))
+    summary = clusters.summary(messages, assigned, clusters.representatives(rows, assigned, centers))
+    led = summary.join(assigned.select(F.col("email_id").alias("representative_id"), F.col("cluster_id").alias("home")), "representative_id")
+    led = led.select("cluster_id", (F.col("home") == F.col("cluster_id")).alias("represented"))
+    placed = assigned.join(F.broadcast(led), "cluster_id", "left").select(  # one row a cluster
+        "email_id", F.coalesce("represented", F.lit(False)).alias("represented"))
+    return against_all_centres(rows, assigned, centers).join(placed, "email_id")
 
 
 _PLAIN = "concat_ws(' ', nullif(subject, ''), nullif(snippet, ''), nullif(sender_domain, ''))"
@@ -196,21 +215,34 @@ def score_batches(spark, sf_dir):
 
 # Answers with planted faults: one JSON item per message, one response per ten messages.
 _ITEM = r"""concat('{{', CASE WHEN doc_id % 13 = 1 THEN '' WHEN doc_id % 13 = 7 THEN concat('"id": ', doc_id, ', ')
+    WHEN doc_id % 130 = 38 THEN concat('<twice>"id": "m', doc_id, '", ')
     ELSE concat('"id": "m', doc_id, '", ') END,
   CASE WHEN doc_id % 70 = 12 THEN '"label": 5' WHEN doc_id % 13 = 0 THEN '"label": "maybe"'
     WHEN doc_id % 3 = 0 THEN '"label": "Good"' ELSE '"label": "bad"' END,
-  CASE doc_id % 13 WHEN 2 THEN ', "confidence": "0.9"' WHEN 3 THEN ', "confidence": true' WHEN 4 THEN ', "confidence": 7.5'
+  CASE WHEN doc_id % 130 = 24 THEN ', "confidence": <nan>' WHEN doc_id % 130 = 76 THEN ', "confidence": <low>' ELSE '' END,
+  CASE WHEN doc_id % 130 IN (24, 76) THEN '' ELSE CASE doc_id % 13 WHEN 2 THEN ', "confidence": "0.9"' WHEN 3 THEN ', "confidence": true' WHEN 4 THEN ', "confidence": 7.5'
     WHEN 6 THEN '' WHEN 8 THEN ', "confidence": -3' WHEN 9 THEN ', "confidence": null'
-    ELSE concat(', "confidence": 0.', doc_id % 9 + 1) END,
+    ELSE concat(', "confidence": 0.', doc_id % 9 + 1) END END,
   CASE doc_id % 13 WHEN 6 THEN '' WHEN 9 THEN ', "reason": null' WHEN 10 THEN ', "reason": false'
     ELSE concat(', "reason": "from ', source, '"') END, '}}')"""
+# Faults that strict JSON does not know: a repeated key, of which the last counts, and numbers beyond it.
+_LOOSE = {"<twice>": '"id": "old", ', "<nan>": "NaN", "<low>": "-Infinity"}
+_PLAIN_FORM = {"<twice>": "", "<nan>": "1.0", "<low>": "0.0"}
+
+
+def _with(text, forms):
+    for mark, form in forms.items():
+        text = text.replace(mark, form)
+    return text
+
+
 _RESPONSE = r"""CASE batch_id % 6
   WHEN 0 THEN concat('```json', chr(10), '[', items, ']', chr(10), '```')
   WHEN 1 THEN concat('{{"results": [', items, ']}}')
   WHEN 2 THEN concat('[', items)
   WHEN 3 THEN concat(chr(10), '  [', items, ', "just text", 17, []]  ')
   ELSE concat('[', items, ']') END"""
-_RESPONSES_SQL = f"""i AS (SELECT doc_id // 10 AS batch_id, doc_id, {_ITEM.replace('{{', '{').replace('}}', '}')} AS item FROM documents),
+_RESPONSES_SQL = f"""i AS (SELECT doc_id // 10 AS batch_id, doc_id, {_with(_ITEM, _PLAIN_FORM).replace('{{', '{').replace('}}', '}')} AS item FROM documents),
 q AS (SELECT batch_id, string_agg(item, ', ' ORDER BY doc_id) AS items, list(concat('m', doc_id)) AS expected_ids FROM i GROUP BY batch_id),
 a AS (SELECT batch_id, expected_ids, {_RESPONSE.replace('{{', '{').replace('}}', '}')} AS response FROM q),
 b AS (SELECT batch_id, trim(regexp_replace(regexp_replace(trim(response, chr(10) || ' '), '^```json', ''), '```$', ''), chr(10) || ' ') AS txt FROM a),
@@ -230,7 +262,7 @@ z AS (SELECT batch_id, json_extract_string(item, '$.id') AS id, upper(json_extra
 
 def responses(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source")
-    items = spark.sql(f"SELECT doc_id div 10 AS batch_id, doc_id, {_ITEM} AS item FROM {{documents}}",
+    items = spark.sql(f"SELECT doc_id div 10 AS batch_id, doc_id, {_with(_ITEM, _LOOSE)} AS item FROM {{documents}}",
                       documents=documents)
     grouped = items.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("rows"))
     joined = grouped.select(
@@ -251,11 +283,11 @@ def missing_ids(spark, sf_dir):
     return scoring.missing_ids(answered, scoring.parse_responses(answered))
 
 
-# Clusters of ten neighbouring messages, labelled by the answers above through item ids m<doc_id>.
+# Every message belongs to the cluster of its ten; the answer to the first of them, item m<doc_id>, is spread.
 @query("propagate_labels", f"""WITH {_RESPONSES_SQL},
 k AS (SELECT z.*, TRY_CAST(substring(id, 2) AS BIGINT) AS doc FROM z WHERE id LIKE 'm%'),
 f AS (SELECT doc AS cluster_id, label, confidence, reason FROM k),
-m AS (SELECT vec_id AS email_id, label AS cluster_id FROM embeddings WHERE label <> 9)
+m AS (SELECT doc_id AS email_id, doc_id // 10 * 10 AS cluster_id FROM documents)
 SELECT email_id, f.label, round(confidence * 0.9, 6)::DOUBLE AS confidence,
   concat('Propagated from cluster ', cluster_id, ': ', reason) AS reason, 'llm_propagated' AS source
 FROM m JOIN f USING (cluster_id)""")
@@ -263,5 +295,7 @@ def propagate_labels(spark, sf_dir):
     found = scoring.parse_responses(responses(spark, sf_dir))
     ids = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("cluster_id"))
-    return scoring.propagate(found, ids, assignments(spark, sf_dir)).withColumn(
+    tens = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("email_id"), F.expr("doc_id DIV 10 * 10").alias("cluster_id"))
+    return scoring.propagate(found, ids, tens).withColumn(
         "confidence", F.round("confidence", 6))
