@@ -10,7 +10,7 @@ item's question and most of its answer.
 
 Question and answer of an item are its text before and after the last line break, or its halves by words when it has
 one line. Edge cases: null and empty texts have no passages, items without words are never found, repeated rows
-are reported as often as they occur, an empty table gives an empty result. The index goes to every task: its size is
+are reported as often as they occur, long texts are searched whole, passage by passage, an empty table gives an empty result. The index goes to every task: its size is
 checked against ``MAX_INDEX_WORDS``, beyond which the items are searched in several parts, one pass over the texts each, with counts of words taken over all items.
 """
 

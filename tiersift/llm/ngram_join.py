@@ -7,7 +7,8 @@ fragment, each count separately, and summed per pair.
 
 Edge cases: null and word-less texts have an empty set and link with nothing; a text with fewer than
 ``width`` words is one n-gram; copies share one set and one group; a null id is returned with a null
-component; rows repeated with one id give as many result rows.
+component; rows repeated with one id give as many result rows; long texts are read whole; of equal ids the least names a
+component, so there are no ties; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Edge cases: null and empty texts have all-zero statistics and get a score like any other; labels that are null or
 belong to no document are ignored, repeated ones count as often as they occur; without both classes the
-score is the share of good labels (0.5 without any). Nothing but the text enters a score.
+score is the share of good labels (0.5 without any). Long texts are measured whole, in chunks of whole texts; equal raw scores get equal
+scores; repeated rows are scored each; an empty table gives an empty result. Nothing but the text enters a score.
 """
 
 from __future__ import annotations

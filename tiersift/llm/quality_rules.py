@@ -7,7 +7,8 @@ learnt. Each step is one grouped count of at most features x thresholds rows. Th
 ordered conditional expression.
 
 Edge cases: null and empty texts count nothing and fail the base test; without labels of both kinds the list is empty;
-null labels are ignored; repeated rows count and are returned as often as they occur.
+null labels are ignored; repeated rows count and are returned as often as they occur; long texts are counted whole; of conditions
+with equal gain the first by feature, threshold and direction is taken; an empty table gives an empty result.
 """
 
 from __future__ import annotations

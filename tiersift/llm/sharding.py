@@ -5,7 +5,7 @@ bit. Rounds look at ``STEP`` more bits of the buckets still open, so what is gro
 cells per open bucket; closed buckets are not touched again.
 
 A row heavier than the limit ends in a bucket of its own (``oversized``), as do rows of one repeated id, whose hash never
-differs. Null ids share one hash, null texts weigh nothing, and an empty table has no shards.
+differs; very long texts count all their bytes. Null ids share one hash, null texts weigh nothing, and an empty table has no shards.
 """
 
 from __future__ import annotations

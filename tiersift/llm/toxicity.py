@@ -5,7 +5,8 @@ learnt in sequence with one learning rate per coordinate and an L1 penalty that
 the shards' weights are averaged over the shards that saw the coordinate. The result, at most 2^BITS weights, goes to every task.
 
 Edge cases: null, empty and word-less texts have the constant feature only and score the intercept; labels that are null or
-belong to no document are ignored; without labels every score is 0.5. Nothing but the text enters a score.
+belong to no document are ignored; without labels every score is 0.5. Long texts are read whole, in chunks of whole texts; rows with one hash are learnt
+in any order; repeated rows are scored each; an empty table gives an empty result. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
