@@ -7,7 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 16  # at least
+
+
+def _salts(rows: DataFrame) -> int:
+    """Sub-keys for a hot key: as many as the session has shuffle partitions, so that a large share of the rows spreads over all."""
+    return max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -67,13 +72,14 @@ def packed(table: DataFrame, partition_bytes: int = 64 << 20) -> DataFrame:
 
 
 def join_cluster_side(rows: DataFrame, per_key: DataFrame, key: str, row_id: str,
-                      how: str = "inner", salts: int = SALTS) -> DataFrame:
+                      how: str = "inner", salts: int | None = None) -> DataFrame:
     """Join many rows with a table holding one row per key when one key may own a third of them.
 
     The rows of a key are spread over ``salts`` sub-keys and the one-per-key side is repeated for
     each, so no task receives a whole key. Adaptive execution still turns this into a broadcast
     when the measured size of ``per_key`` allows it.
     """
+    salts = salts or _salts(rows)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     repeated = per_key.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -107,12 +113,13 @@ def numbered(df: DataFrame, order: str, column: str = "ordinal") -> DataFrame:
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, row_id: str, count: str = "n",
-                 salts: int = SALTS) -> DataFrame:
+                 salts: int | None = None) -> DataFrame:
     """Join rows with a large one-row-per-key table whose ``count`` tells the rows of each key.
 
     Only keys that own more than a thousandth of all rows are spread and repeated, so fewer than a
     thousand keys reach the driver and the rest of ``per_key`` is shuffled once.
     """
+    salts = salts or _salts(rows)
     total = per_key.agg(F.sum(count)).first()[0] or 0
     limit = max(total / 1000, 10_000)
     hot = [r[0] for r in per_key.filter(F.col(count) > limit).select(key).collect()]

@@ -103,8 +103,9 @@ def split_counts(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    messages = materialize(emails(spark, sf_dir), "emails")
+    messages = emails(spark, sf_dir)
     by_rules = materialize(rules.classify(messages), "rules")
+    messages = classifier.prepare(messages)
     model, scored = classifier.train(messages, by_rules)
     return messages, by_rules, model, scored
 
