@@ -27,7 +27,7 @@ BROADCAST_IDS = 1_000_000
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     gone = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
