@@ -44,3 +44,9 @@ def test_rows_without_an_id_or_text_pass(spark):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         docs = materialize(stage(spark, docs, SF), "stage")
         assert docs.count() == 2
+
+
+def test_a_column_named_like_a_working_one_stays(spark):
+    docs = spark.createDataFrame([(1, "a", "u"), (2, "b", "v")], "doc_id long, text string, _gone string")
+    left = corpus_pipeline._without(docs, spark.createDataFrame([(1,)], "doc_id long"))
+    assert [tuple(r) for r in left.collect()] == [(2, "b", "v")]
