@@ -71,7 +71,7 @@ def op7_ftrl_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-SHARD_LIMIT = 64 << 10
+SHARD_LIMIT = 1 << 20
 
 
 @query("op9_extendible_hash_shards", f"""WITH
@@ -83,7 +83,7 @@ s AS (SELECT doc_id, bytes, depth, left(bits, depth) AS shard,
 SELECT doc_id, arg_min(shard, depth) AS shard, min(depth) AS depth, any_value(bytes) AS bytes,
   arg_min(total, depth) > {SHARD_LIMIT} AS oversized FROM s WHERE total <= {SHARD_LIMIT} OR alone GROUP BY doc_id""")
 def op9_extendible_hash_shards(spark, sf_dir):
-    """Shards of at most 64 KB of text, so that small tables split as well."""
+    """Shards of at most 1 MB of text, so that the tables of 1,000 documents split as well."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
