@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType
 
 from tiersift.functions.fields import embedding_text_plain
@@ -71,23 +72,61 @@ def embed(emails: DataFrame, fn, text_column: Column, dimensions_type: str = "ar
 
 #: Vectors that starting centres are drawn from, by hash order.
 SEED_SAMPLE = 5000
+_SLICE = 512  # vectors compared with all centres at once
 _FEW = 8  # tasks whose sums the driver adds up
 
 
-def _rows_of(batch: pa.RecordBatch, size: int) -> np.ndarray:
-    """Dense rows of a batch of unwrapped vectors."""
+def _entries_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of entries of each unwrapped vector of a batch, their places and values."""
     column = batch.column(batch.schema.get_field_index("features"))
-    values, n = column.field("values"), len(column)
+    kind, _, indices, values = column.flatten()  # children of a slice, unlike those of ``field``
     length = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(n), length)
+    row = np.repeat(np.arange(len(column)), length)
     place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)  # of an entry in its vector
-    sparse = (column.field("type").to_numpy(zero_copy_only=False) == 0)[row]
-    place[sparse] = column.field("indices").flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((n, size))
-    out[row, place] = values.flatten().to_numpy(zero_copy_only=False)
+    sparse = (kind.to_numpy(zero_copy_only=False) == 0)[row]
+    place[sparse] = indices.flatten().to_numpy(zero_copy_only=False)
+    return length, place, values.flatten().to_numpy(zero_copy_only=False)
+
+
+def _rows_of(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """Dense rows of a batch of unwrapped vectors."""
+    length, place, values = _entries_of(batch)
+    out = np.zeros((len(length), size))
+    out[np.repeat(np.arange(len(length)), length), place] = values
     return out
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``ids, lengths, places, entries``: a row for up to ``_SLICE`` vectors, as arrays of their entries; zeros of dense ones as well.
+
+    Every pass then reads a few large values instead of a struct of arrays a vector, and compares few rows at a time.
+    """
+    def work(batches):
+        for batch in batches:
+            for low in range(0, len(batch), _SLICE):
+                part = batch.slice(low, _SLICE)
+                length, place, entries = _entries_of(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(0).to_pylist()], ids), *[pa.array([x.tobytes()], pa.binary()) for x in (
+                        length.astype(np.int32), place.astype(np.int32), entries.astype(np.float64))]],
+                    ["ids", "lengths", "places", "entries"])
+
+    kind = rows.schema["email_id"].dataType
+    ids = pa.list_(to_arrow_type(kind))
+    return rows.select("email_id", "features").mapInArrow(
+        work, f"ids array<{kind.simpleString()}>, lengths binary, places binary, entries binary")
+
+
+def _unpacked(batch: pa.RecordBatch, size: int):
+    """Dense rows of every block in a batch of ``lengths, places, entries``."""
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in ("lengths", "places", "entries")]
+    for length, place, entries in zip(*columns, strict=True):
+        length = np.frombuffer(length.as_py(), dtype=np.int32)
+        out = np.zeros((len(length), size))
+        out[np.repeat(np.arange(len(length)), length), np.frombuffer(place.as_py(), dtype=np.int32)] = np.frombuffer(entries.as_py())
+        yield out
+
+
 def _starts(sample: np.ndarray, k: int, n_init: int, seed: int) -> np.ndarray:
     """``n_init`` sets of ``k`` centres, each next one drawn in proportion to the squared distance to those before."""
     out = np.empty((n_init, k, sample.shape[1]))
@@ -104,7 +143,7 @@ def _starts(sample: np.ndarray, k: int, n_init: int, seed: int) -> np.ndarray:
     return out
 
 
-def _pass(rows: DataFrame, centers: np.ndarray, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pass(blocks: DataFrame, centers: np.ndarray, running: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums, counts and costs of the nearest rows of every centre, for all running starts in one pass.
 
     Tasks send the sums of the centres they touched; those are added up by centre before the driver gets one row each.
@@ -115,8 +154,7 @@ def _pass(rows: DataFrame, centers: np.ndarray, running: np.ndarray) -> tuple[np
 
     def partial(batches):
         sums, counts, cost = np.zeros(flat.shape), np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat))
-        for batch in batches:
-            x = _rows_of(batch, size)
+        for x in (x for batch in batches for x in _unpacked(batch, size)):
             far = (length - 2 * x @ flat.T).reshape(len(x), -1, k)
             best = far.argmin(2)
             near = np.take_along_axis(far, best[:, :, None], 2)[:, :, 0] + (x * x).sum(1)[:, None]
@@ -140,8 +178,8 @@ def _pass(rows: DataFrame, centers: np.ndarray, running: np.ndarray) -> tuple[np
         yield from _packed_sums(sums, counts, cost)
 
     schema = "at long, n long, cost double, sums binary"
-    parts = rows.mapInArrow(partial, schema)
-    if rows.rdd.getNumPartitions() > _FEW:
+    parts = blocks.mapInArrow(partial, schema)
+    if blocks.rdd.getNumPartitions() > _FEW:
         parts = parts.repartition(_FEW, "at").mapInArrow(added, schema)
     total = next(added(parts.toArrow().to_batches()))  # a row a centre, of _FEW tasks at most
     sums, counts, cost = np.zeros(flat.shape), np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat))
@@ -174,18 +212,20 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
         return single, centroids(vectors, single)
     # every iteration is a pass over these rows: even partitions of a useful size, cached
     rows = packed(materialize(vectors.select("email_id", F.unwrap_udt(_as_vector(vectors)).alias("features"))
-                              .hint("rebalance"), "features"), 8 << 20).persist()
-    n = rows.count()
+                              .hint("rebalance"), "features"), 8 << 20)
+    blocks = _blocks(rows).persist()
+    n = blocks.agg(F.sum(F.size("ids"))).first()[0]
     first = rows.select("features").first()["features"]
     size = first["size"] if first["type"] == 0 else len(first["values"])
     share = min(1.0, 2 * SEED_SAMPLE / n)
     chosen = rows.filter(F.pmod(F.xxhash64("email_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * share)).limit(SEED_SAMPLE)
     sample = np.concatenate([_rows_of(b, size) for b in chosen.select("features").toArrow().to_batches()])
     centers = _starts(sample, k, n_init, seed)
+    entries = blocks.drop("ids")
     limit = tol * float(sample.var(0).mean())
     running, costs = np.ones(n_init, dtype=bool), np.full(n_init, np.inf)
     for _ in range(max_iter):
-        sums, counts, cost = _pass(rows.select("features"), centers, running)
+        sums, counts, cost = _pass(entries, centers, running)
         costs[running] = cost
         old = centers[running]
         new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], old)
@@ -194,19 +234,20 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
         if not running.any():
             break
     every = np.ones(n_init, dtype=bool)
-    costs = _pass(rows.select("features"), centers, every)[2]
+    costs = _pass(entries, centers, every)[2]
     best = centers[int(costs.argmin())]
     length = (best * best).sum(1)
 
     def nearest(batches):
         for batch in batches:
-            x = _rows_of(batch, size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((length - 2 * x @ best.T).argmin(1), pa.int32())],
-                                             ["email_id", "cluster_id"])
+            near = [(length - 2 * x @ best.T).argmin(1) for x in _unpacked(batch, size)]
+            if near:
+                yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), pa.array(np.concatenate(near), pa.int32())],
+                                                 ["email_id", "cluster_id"])
 
     kind = rows.schema["email_id"].dataType.simpleString()
-    assigned = materialize(rows.mapInArrow(nearest, f"email_id {kind}, cluster_id int"), "kmeans")
-    rows.unpersist()
+    assigned = materialize(blocks.mapInArrow(nearest, f"email_id {kind}, cluster_id int"), "kmeans")
+    blocks.unpersist()
     placed = [(i, c.tolist()) for i, c in enumerate(best)]
     return assigned, spark.createDataFrame(placed, "cluster_id int, center array<double>")
 

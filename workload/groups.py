@@ -124,9 +124,11 @@ def against_all_centres(rows, assigned, centers):
     placed = [(r["cluster_id"], r["center"]) for r in centers.collect()]  # one row a cluster
     ids, points = np.array([p[0] for p in placed]), np.array([p[1] for p in placed])
 
+    few = max(1, (1 << 22) // max(points.size, 1))  # every row meets every centre in every dimension
+
     def run(frames):
-        for pdf in frames:
-            far = ((np.stack(pdf["embedding"].to_list())[:, None, :] - points[None]) ** 2).sum(2) if len(pdf) else np.zeros((0, len(ids)))
+        for pdf in (frame.iloc[low:low + few] for frame in frames for low in range(0, len(frame), few)):
+            far = ((np.stack(pdf["embedding"].to_list())[:, None, :] - points[None]) ** 2).sum(2)
             own = far[np.arange(len(pdf)), [int(np.flatnonzero(ids == c)[0]) for c in pdf["cluster_id"]]]
             yield pdf[["email_id"]].assign(nearest=own <= far.min(axis=1) + 1e-9)
 
