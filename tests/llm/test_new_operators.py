@@ -142,6 +142,22 @@ def test_a_smaller_model_still_tells_languages(spark):
     assert sum(got[d] == want[d] for d in want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("entries", [3, 3000])
+def test_a_model_too_large_for_a_task_gives_the_same_results(spark, entries):
+    learnt = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    whole, large = language_id.fit(learnt), language_id.fit(learnt, max_entries=entries)
+    assert large.partial and not whole.partial
+    assert large.limit == pytest.approx(whole.limit) and large.values == pytest.approx(whole.values)
+    text = learnt.filter("text IS NOT NULL").first()["text"]
+    odd = docs(spark, [(1, text, "x"), (1, text, "x"), (None, text, "x"), (2, "Ζητώ συγγνώμη", "x"), (3, None, "x"), (4, "12 !", "x"),
+                       (5, "zzzq " * 400, "x"), (6, "", "x")])
+    both = learnt.select("doc_id", "text", "lang").unionByName(odd)
+    want, got = ([(r["doc_id"] or -1, *r[1:]) for r in language_id.identify(both, m).collect()] for m in (whole, large))
+    assert len(got) == len(want) == 158
+    for g, w in zip(sorted(got), sorted(want), strict=True):
+        assert (g[:2], g[4]) == (w[:2], w[4]) and g[2:4] == pytest.approx(w[2:4], rel=1e-9, abs=1e-12), (g, w)
+
+
 # --- whitening
 
 
