@@ -171,3 +171,28 @@ def test_without_a_model_every_open_message_is_ambiguous(spark, make_emails):
     rows = make_emails(*[{"fingerprint": f"f{i}", "sender_domain": "x.org", "snippet": f"word{i % 3} text"} for i in range(12)])
     run = triage(rows, labeller=wording_labeller, settings=Settings(n_init=1))
     assert run.by_model is None and run.ambiguous.count() == 12 and run.final.count() == 12
+
+
+def test_kmeans_passes_over_a_small_table_use_every_core_and_add_entries(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in draw.normal(10 * (i % 3), 0.1, 4)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "email_id long, embedding array<double>").coalesce(1)
+    tasks, plain = set(), clusters._pass
+
+    def watched(blocks, centers, running):
+        tasks.add(blocks.rdd.getNumPartitions())
+        sums, counts, cost = plain(blocks, centers, running)
+        x = np.array([r[1] for r in rows])
+        for own, (start, found) in zip(np.flatnonzero(running), enumerate(sums), strict=True):
+            near = ((x[:, None] - centers[own]) ** 2).sum(2).argmin(1)
+            for j in range(centers.shape[1]):
+                assert np.allclose(found[j], x[near == j].sum(0)) and counts[start, j] == (near == j).sum()
+        return sums, counts, cost
+
+    monkeypatch.setattr(clusters, "_pass", watched)
+    assigned, _ = clusters.kmeans(vectors, 3, n_init=2)
+    assert tasks == {spark.sparkContext.defaultParallelism}
+    groups = {}
+    for r in assigned.collect():
+        groups.setdefault(r["cluster_id"], set()).add(r["email_id"] % 3)
+    assert sorted(map(len, groups.values())) == [1, 1, 1]
