@@ -24,3 +24,26 @@ def test_random_unicode_has_the_ids_of_the_library(name):
               for _ in range(20_000)]
     for text, raw in zip(texts, encoder.encode(texts), strict=True):
         assert raw == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+
+
+def test_rare_words_do_not_walk_through_all_words_known():
+    """Taking a set apart by the keys of a dictionary costs as much as that dictionary is long, for every batch."""
+    class Counted(dict):
+        walked = 0
+
+        def __iter__(self):
+            Counted.walked += 1
+            return super().__iter__()
+
+        def keys(self):
+            Counted.walked += 1
+            return super().keys()
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        encoder, library = PieceEncoder(path), Tokenizer.from_file(path)
+        encoder.known, encoder.older = Counted(), Counted()
+        texts = ["Zulichber, etairele the ßauge", "the zulichber\nÉtairele Ⱥb don't a1b x's 12.5 ª", "of byonthonre" * 9]
+        for text, raw in zip(texts * 2, encoder.encode(texts) + encoder.encode(texts), strict=True):
+            assert raw == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert Counted.walked == 0

@@ -18,6 +18,12 @@ _PIECES = re.compile(r"[ \n]?[^ \n]+")
 # such a text is encoded whole.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _MARKS, _LATIN_END = ".,;:!?", "\u0250"
+# Below this end nothing combines and every character but U+0130 has one lower case, of the same kind: runs of letters there are tokens of
+# their own, whatever stands next to them, once case and white space do not count.
+_NOT_LATIN = re.compile(f"[\u0130{_LATIN_END}-\U0010ffff]")
+_LETTERS = "".join(sorted({x for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130" for x in (c, c.lower())}))
+_RUNS = re.compile(f"[{_LETTERS}]+|[^ \n{_LETTERS}][^ \n]*")
+_TOGETHER = 256  # words given to the tokenizer in one text
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -44,7 +50,10 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": bytes_only}))
+        lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}
+        units = {"type": "Sequence", "pretokenizers": [lines, bytes_only]}
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": units}))
+        self.line_end, = self.plain.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -63,14 +72,23 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces; of each different word only once."""
         parts = [self._parts(p) for p in pieces]
-        words = {x for p in parts for x in p if x} - self.known.keys()
-        again = words & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        self._encode_words(list(words - again))
-        self.known[""] = b""
         known = self.known
+        self._encode_words(self._unseen({x for p in parts for x in p if x}))
+        known[""] = b""
         known.update((piece, known[word] + known[mark]) for piece, (word, mark) in zip(pieces, parts, strict=True))
 
+    def _unseen(self, pieces: set[str]) -> list[str]:
+        """Pieces without ids yet; those remembered from before the last turn come back. A set is not taken apart by the keys of a
+        dictionary: Python would walk through all of these."""
+        known, older, new = self.known, self.older, []
+        for p in pieces:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
+        return new
+
     def _encode_words(self, words: list[str]) -> None:
         """Words of Latin letters, with the blank before them where it counts, are one unit of the tokenizer; others go through all of it."""
         simple, other = [], []
@@ -78,19 +96,30 @@ class PieceEncoder:
             letters = w if self.lowers else w.removeprefix(" ")
             plain = letters.isalpha() and max(w) < _LATIN_END and not (self.lowers and letters != letters.lower())
             (simple if plain else other).append(w)
-        for part, tokenizer in ((simple, self.plain), (other, self.tokenizer)):
-            found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        for at in range(0, len(simple), _TOGETHER):
+            part = simple[at:at + _TOGETHER]
+            ids = np.array(self.plain.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends, raw = np.flatnonzero(ids == self.line_end), ids.tobytes()  # no letter is part of that token
+            starts = [0, *(4 * ends + 4).tolist()]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, starts, [*(4 * ends).tolist(), len(raw)], strict=True))
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, found, strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        pieces = [None if _irregular(t) else _PIECES.findall(t) for t in texts]
+        pieces, words, mixed = [], set(), set()
+        for t in texts:
+            if _irregular(t):
+                own = None
+            elif self.lowers and _NOT_LATIN.search(t) is None:
+                words.update(own := _RUNS.findall(t.lower()))
+            else:
+                mixed.update(own := _PIECES.findall(t))
+            pieces.append(own)
         if len(self.known) > CACHE_LIMIT // 2:
             self.known, self.older = {}, self.known
-        new = set().union(*[p for p in pieces if p]) - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        self._learn(list(new - again))
+        self._encode_words(self._unseen(words))
+        self._learn(self._unseen(mixed))
         known = self.known.__getitem__
         return [self._encode(t).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, pieces, strict=True)]
 
