@@ -11,6 +11,14 @@ from tiersift.operators.components import components
 from tiersift.runtime import materialize, release
 
 
+def odd_cells_apart(x, y, words: int) -> Column:
+    """How many cells of the hash range hold an odd number of elements of only one of two sets, by their bits ``odd``.
+
+    Every element that only one of the sets has turns one bit: the sets differ in at least as many elements.
+    """
+    return sum((F.bit_count(F.get(x["odd"], F.lit(i)).bitwiseXOR(F.get(y["odd"], F.lit(i)))) for i in range(words)), F.lit(0))
+
+
 def _rooted(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return blocks.withColumn("root", F.col("node"))
@@ -37,12 +45,13 @@ def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
         links.append(known.select("a", "b"))
         roots = known.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
+    def check(pairs: DataFrame, name: str, *spent: DataFrame | None) -> DataFrame:
         nonlocal roots
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = materialize(pairs, name)
+        release(*spent)
         tested.append(pairs)
         links.append(verify(pairs))
         every = links[0]
@@ -83,6 +92,6 @@ def link_blocks(blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], pos
         possible(F.col("l"), F.col("r")))
     if close is not None:
         met = met.filter(close(F.col("l"), F.col("r")))
-    check(met.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")), "rest")
-    release(left, None if rows is blocks else rows, *tested, *links)
+    check(met.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")), "rest", left, None if rows is blocks else rows)
+    release(*tested, *links)
     return roots

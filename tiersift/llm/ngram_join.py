@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersift.llm.linking import link_blocks
+from tiersift.llm.linking import link_blocks, odd_cells_apart
 from tiersift.llm.words import LOWER, Words, lists, sequence_hash, shingle_hashes, text_chunks
 from tiersift.runtime import join_per_key, materialize, release
 
@@ -28,6 +28,7 @@ FRAGMENTS = 8
 FREQUENT_LIMIT = 200_000  # n-grams whose frequency is told to every task; others are ordered by hash
 CELL_BITS = 9
 CELLS = 1 << CELL_BITS
+FIRST = 4  # leading n-grams by which a pair that shares many blocks is told from one that was met in an earlier block
 _BROADCAST_IDS = 1_000_000  # ids of candidates sent to all tasks (16 MB); beyond it they are joined by shuffle
 
 
@@ -71,12 +72,20 @@ def _close(t: int):
     """Necessary for a similarity of ``t`` percent: no more differing bits than n-grams may differ."""
 
     def condition(x, y):
-        bits = sum((F.bit_count(F.get(x["odd"], F.lit(i)).bitwiseXOR(F.get(y["odd"], F.lit(i)))) for i in range(CELLS // 64)), F.lit(0))
-        return bits.cast("long") * (100 + t) <= (x["n"] + y["n"]).cast("long") * (100 - t)
+        return odd_cells_apart(x, y, CELLS // 64).cast("long") * (100 + t) <= (x["n"] + y["n"]).cast("long") * (100 - t)
 
     return condition
 
 
+def _met_before(x, y) -> Column:
+    """Two sets share one of their first ``FIRST`` n-grams before this one, so the block of that n-gram holds the pair as well.
+
+    It stands earlier in both sets, so ``possible`` is no stricter there.
+    """
+    before = [F.slice(s["first"], F.lit(1), F.least(s["pos"], F.lit(FIRST))) for s in (x, y)]
+    return F.arrays_overlap(*before)
+
+
 def _frequent(documents: DataFrame, width: int, limit: int) -> np.ndarray:
     """Up to ``limit`` n-grams that many different texts have; which ones only decides speed, never results.
 
@@ -128,14 +137,16 @@ def _promising(pairs: DataFrame, sets: DataFrame, facts: DataFrame, t: int) -> D
         return most * (100 + t) >= (F.col("na") + F.col("nb")) * t
 
     pairs = materialize(pairs.filter(enough(F.least("shared_a", "shared_b"))).drop("shared_a", "shared_b"), "able")
-    leads = sets.filter("size(lead) > 0").select("doc_id", F.array_distinct(F.transform("lead", lambda x: F.hash(x))).alias("lead"),
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "met")
+    leads = sets.filter("size(lead) > 0").join(F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids, "doc_id", "left_semi")
+    leads = leads.select("doc_id", F.array_distinct(F.transform("lead", lambda x: F.hash(x))).alias("lead"),
                                                  F.size("lead").alias("long"))
     leads = leads.withColumn("same", F.col("long") - F.size("lead")).drop("long")
     two = pairs.join(leads.withColumnsRenamed({"doc_id": "b", "lead": "lead_b", "same": "same_b"}), "b").join(
         leads.withColumnsRenamed({"doc_id": "a", "lead": "lead_a", "same": "same_a"}), "a")
     common = F.size(F.array_intersect("lead_a", "lead_b")) + F.least("same_a", "same_b")
     done = materialize(two.filter(enough(common)).select("a", "b", "na", "nb").distinct(), "promising")
-    release(pairs)
+    release(pairs, ids)
     return done
 
 
@@ -219,8 +230,11 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     firsts = sets.filter("size(lead) > 0 AND doc_id IS NOT NULL")
     entries = firsts.select(F.posexplode("lead").alias("pos", "block"), F.col("doc_id").alias("node"), F.col("n").cast("int"))
-    shared = entries.groupBy("block").agg(F.count("*").alias("rows")).filter("rows > 1").select("block")
-    blocks = materialize(entries.join(shared, "block", "left_semi"), "blocks")
+    of_block = Window.partitionBy("block")  # entries are shuffled once
+    met = entries.withColumn("_rows", F.count("*").over(of_block)).withColumn("_least", F.min("n").over(of_block))
+    # no set of the block is small enough for an n-gram that stands so late to be the first common one
+    reach = (F.col("n") - F.col("pos")).cast("long") * (100 + t) >= (F.col("n") + F.col("_least")).cast("long") * t
+    blocks = materialize(met.filter("_rows > 1").select("pos", "block", "node", "n", reach.alias("reaches")), "blocks")
     facts = materialize(blocks.groupBy("node").agg(F.count("*").alias("shared")).join(
         firsts.select(F.col("doc_id").alias("node"), "n", (F.col("n") - F.size("lead")).alias("after")), "node"), "facts")
     copies = firsts.select("doc_id", "k1", "k2").join(classes.filter("copies > 1"), ["k1", "k2"]).filter(
@@ -233,12 +247,13 @@ def ngram_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     copies = materialize(copies, "copies")
     # an id may be repeated with different texts: any of its rows may be the one that links, none is told apart by one sketch
-    odd = firsts.groupBy(F.col("doc_id").alias("node")).agg(F.first("odd").alias("odd"), F.count("*").alias("rows"))
-    odd = odd.select("node", F.when(F.col("rows") == 1, F.col("odd")).alias("odd"))
-    roots = link_blocks(blocks, lambda pairs: _overlaps(
+    told = firsts.groupBy(F.col("doc_id").alias("node")).agg(F.first(F.struct(
+        "odd", F.slice("lead", 1, FIRST).alias("first"))).alias("own"), F.count("*").alias("rows"))
+    told = told.select("node", *[F.when(F.col("rows") == 1, F.col(f"own.{c}")).alias(c) for c in ("odd", "first")])
+    roots = link_blocks(blocks.filter("reaches").drop("reaches"), lambda pairs: _overlaps(
         documents, pairs, sets, facts, frequent, width, t, fragments), possible, columns=("pos", "n"),
         known=copies, central=F.col("pos"),  # few rarer n-grams: the unedited text of a block
-        details=odd, close=lambda x, y: F.coalesce(_close(t)(x, y), F.lit(True)))
+        details=told, close=lambda x, y: F.coalesce(_close(t)(x, y), F.lit(True)) & ~F.coalesce(_met_before(x, y), F.lit(False)))
     release(blocks, facts, copies)
     # two classes of copies may start at one id only if that id is repeated; then its least root counts
     named = classes.join(roots.groupBy("node").agg(F.min("root").alias("root")), "node", "left").select(
