@@ -115,3 +115,20 @@ def test_texts_of_lines_are_fetched_with_few_or_many_ids(spark, monkeypatch, lim
     words = [f"w{i}" for i in range(60)]
     texts = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words])), (3, "apart from them all")], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(texts).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_keys_shared_by_lines_of_other_sizes_only_are_left_out(spark, monkeypatch):
+    """A shingle that lines of all sizes have is a key of short ones; those that no line of a fitting size shares go no further."""
+    lines = ["common" + "".join(chr(97 + (7 * i * k + k * k) % 26) for i in range(1, 3 + k)) for k in range(1, 26, 6)]
+    lines += ["a line of words that has a near copy", "a line of words that has a near copy!"]
+    stored, sizes = line_dedup.materialize, {}
+
+    def counted(df, name="stage"):
+        done = stored(df, name)
+        sizes[name] = done.count()
+        return done
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.duplicate_lines(table).collect()} == {6}
+    assert sizes["nodes"] == 2
