@@ -118,7 +118,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _unpacked(batch: pa.RecordBatch, size: int):
-    """Dense rows of every block in a batch of ``lengths, places, entries``, and the row, place and value of its entries."""
+    """Dense rows of every block in a batch of ``lengths, places, entries``."""
+    return (out for out, *_ in _unpacked_entries(batch, size))
+
+
+def _unpacked_entries(batch: pa.RecordBatch, size: int):
+    """Dense rows of every block in a batch, and the row, place and value of its entries."""
     columns = [batch.column(batch.schema.get_field_index(c)) for c in ("lengths", "places", "entries")]
     for length, place, entries in zip(*columns, strict=True):
         length = np.frombuffer(length.as_py(), dtype=np.int32)
@@ -155,7 +160,7 @@ def _pass(blocks: DataFrame, centers: np.ndarray, running: np.ndarray) -> tuple[
 
     def partial(batches):
         sums, counts, cost = np.zeros(flat.shape), np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat))
-        for x, row, place, entries in (b for batch in batches for b in _unpacked(batch, size)):
+        for x, row, place, entries in (b for batch in batches for b in _unpacked_entries(batch, size)):
             far = (length - 2 * x @ flat.T).reshape(len(x), -1, k)
             best = far.argmin(2)
             near = np.take_along_axis(far, best[:, :, None], 2)[:, :, 0] + (x * x).sum(1)[:, None]
@@ -240,7 +245,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, n_init: int
 
     def nearest(batches):
         for batch in batches:
-            near = [(length - 2 * x @ best.T).argmin(1) for x, *_ in _unpacked(batch, size)]
+            near = [(length - 2 * x @ best.T).argmin(1) for x in _unpacked(batch, size)]
             if near:
                 yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), pa.array(np.concatenate(near), pa.int32())],
                                                  ["email_id", "cluster_id"])
